@@ -43,11 +43,11 @@ class Automaton:
         self.col_of: dict[int, int] = {}
         self.cut: dict[tuple[int, int], int] = {}
         self.doubled: set[int] = set()
-        self._arcs: dict[tuple[int, int], bool] = {}
+        self.unused: set[int] = set()
+        self._arcs: dict[int, bool] = {}
         for time, (u, v, w) in enumerate(merges, 1):
             self._gadget(time, u, v, w)
-        self.by_label = {label[i]: i for i in self.born}
-        self.longest = max(map(len, self.by_label), default=1)
+        self._index()
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
         if u not in self.born or v not in self.born or w in self.born or (u, v) in self.cut:
@@ -56,6 +56,21 @@ class Automaton:
         self.born[w], self.row_of[w], self.col_of[w] = time, v, u
         if u == v:
             self.doubled.add(w)
+        if not self._arc(u, v, time):
+            self.unused.add(w)  # no path reads u, v here, so the gadget adds no arc
+
+    def _index(self) -> None:
+        """Byte transitions over the labels: ``step[state << 8 | byte]`` and the arc that ends in a state."""
+        self.step: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for i in self.born:
+            if i not in self.unused:
+                state = 0
+                for byte in self.label[i]:
+                    state = self.step.setdefault(state << 8 | byte, len(self.ends))
+                    if state == len(self.ends):
+                        self.ends.append(-1)
+                self.ends[state] = i
 
     def _arc(self, x: int, y: int, time: int) -> bool:
         """Does the state behind ``x`` have the arc ``y`` once the gadgets before ``time`` are in?"""
@@ -77,31 +92,52 @@ class Automaton:
                 y, time = self.col_of[y], by
 
     def arc(self, x: int, y: int) -> bool:
-        known = self._arcs.get((x, y))
+        known = self._arcs.get(x << 20 | y)
         if known is None:
-            if len(self._arcs) > 2_000_000:
+            if len(self._arcs) > 1_000_000:
                 self._arcs.clear()
-            known = self._arcs[x, y] = self._arc(x, y, 1 << 60)
+            known = self._arcs[x << 20 | y] = self._arc(x, y, 1 << 60)
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
         """The one accepted path that emits ``word``.
 
-        Every prefix has exactly one accepted path, so a table of last labels is filled from the left.
+        From each place the arcs that fit the next bytes are tried, longest first. A prefix has only one
+        accepted path, so a place from which no arc leads on is never tried again.
         """
-        last: list[int] = [-1] * (len(word) + 1)
-        get, longest = self.by_label.get, self.longest
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = get(word[start:end])
-                if token is not None and (start == 0 or self.arc(last[start], token)):
-                    last[end] = token
+        step, ends, arcs, n = self.step.get, self.ends, self._arcs.get, len(word)
+        path: list[int] = []
+        places = [0]
+        dead: set[int] = set()
+        while places[-1] < n:
+            at = i = places[-1]
+            fits, state = [], step(word[i])
+            while state is not None:
+                i += 1
+                if ends[state] >= 0 and i not in dead:
+                    fits.append((i, ends[state]))
+                if i == n:
                     break
-        path, end = [], len(word)
-        while end:
-            path.append(last[end])
-            end -= len(self.label[last[end]])
-        return path[::-1]
+                state = step(state << 8 | word[i])
+            while fits:
+                end, token = fits.pop()
+                if path:
+                    key = path[-1] << 20 | token
+                    known = arcs(key)
+                    if known is None:
+                        known = self.arc(path[-1], token)
+                    if not known:
+                        continue
+                path.append(token)
+                places.append(end)
+                break
+            else:
+                dead.add(at)
+                if not path:
+                    raise ValueError(f"no path emits {word!r}")
+                path.pop()
+                places.pop()
+        return path
 
 
 def load(path: str) -> tuple[Automaton, dict[str, int]]:
@@ -116,40 +152,61 @@ def load(path: str) -> tuple[Automaton, dict[str, int]]:
     added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     return Automaton(byte_ids, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], label), added
 
+#: Two white-space characters of ASCII in a row, one of them a blank.
+_PAIRS = [p for c in " \t\n\x0b\x0c\r" for p in {" " + c, c + " "}]
+
 
 class Codec:
     """Whole texts to ids and back. Words are remembered, up to ``keep`` of them, so memory is bounded."""
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 250_000):
         self.automaton, self.added = load(path)
         self.labels = self.automaton.label | {i: s.encode() for s, i in self.added.items()}
         self.keep = keep
         self.pieces = regex.compile(PIECES)
-        self.twice = regex.compile(rf"[{SPACES}][{SPACES}]|^[{SPACES}]|[{SPACES}]$")
+        self.unusual = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.safe = regex.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._ids: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self._words: dict[str, list[int]] = {}
+
+    def _word(self, piece: str) -> list[int]:
+        known = self._words.get(piece)
+        if known is None:
+            known = self.automaton.encode_word(piece.encode())
+            if len(piece) <= 32:
+                if len(self._words) >= self.keep // 4:
+                    self._words.clear()
+                self._words[piece] = known
+        return known
 
-    def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str, bytes]:
+    def _found(self, chunk: str) -> tuple[tuple[int, ...], str, bytes]:
         """Ids, ids as text and the labels emitted for them, of a run that no piece crosses."""
-        ids = tuple(i for piece in self.pieces.findall(chunk) for i in self.automaton.encode_word(piece.encode()))
-        found = ids, ",".join(map(str, ids)), b"".join(map(self.labels.__getitem__, ids))
-        if len(chunk) <= 64:
+        if chunk[1:].isalpha() and chunk[0] == " ":  # the commonest piece
+            ids = self.automaton.encode_word(chunk.encode())
+        else:
+            ids = [i for piece in self.pieces.findall(chunk) for i in self._word(piece)]
+        return tuple(ids), ",".join(map(str, ids)), b"".join(map(self.labels.__getitem__, ids))
+
+    def _after_blank(self, part: str) -> tuple[tuple[int, ...], str, bytes]:
+        found = self._found(" " + part)
+        if len(part) <= 64:
             if len(self._ids) >= self.keep:
                 self._ids.clear()
-            self._ids[chunk] = found
+            self._ids[part] = found
         return found
 
-    def _chunks(self, text: str) -> list[str]:
-        """Cut before single blanks between other characters: a piece begins at each, wherever it stands."""
-        parts = text.split(" ") if self.twice.search(text) is None else self.safe.split(text)
-        return [parts[0], *map(" ".__add__, parts[1:])]
+    def _parts(self, text: str) -> list[str]:
+        """Cut at single blanks between other characters: a piece begins at each, wherever it stands."""
+        if any(pair in text for pair in _PAIRS) or not text.isascii() and self.unusual.search(text):
+            return self.safe.split(text)
+        return text.split(" ")
 
     def parts(self, text: str | None):
         """(ids, ids as text, emitted bytes) by run, in order."""
         if not text:
             return
-        known = self._ids
+        known = self._ids.get
         segments = [text]
         if self.special is not None and any(s in text for s in self.added):
             segments = self.special.split(text)
@@ -158,8 +215,12 @@ class Codec:
                 i = self.added[segment]
                 yield (i,), str(i), self.labels[i]
             elif segment:
-                for chunk in self._chunks(segment):
-                    yield known.get(chunk) or self._chunk(chunk)
+                parts = iter(self._parts(segment))
+                first = next(parts)
+                if first:
+                    yield self._found(first)
+                for part in parts:
+                    yield known(part) or self._after_blank(part)
 
     def encode(self, text: str | None) -> list[int]:
         return [i for ids, _, _ in self.parts(text) for i in ids]
