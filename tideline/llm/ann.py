@@ -59,7 +59,7 @@ def distinct_vectors(vectors: DataFrame, k: int, is_query: Column) -> tuple[Data
         for f in frames:
             if len(f):
                 g = f.sort_values("vec_id").drop_duplicates(["key", "vec_id"]).groupby("key", sort=False)
-                yield g.agg(ids=("vec_id", lambda x: x.to_numpy()[: k + 1]), query=("query", "max")).reset_index()
+                yield pd.DataFrame([(key, x["vec_id"].to_numpy()[: k + 1], bool(x["query"].any())) for key, x in g], columns=["key", "ids", "query"])
 
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), is_query.alias("query")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())

@@ -62,7 +62,7 @@ def shingles(text: str | None, width: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     take = min(width, len(words))
-    x = np.full(len(words) - take + 1, np.uint64(take) * _C[4], np.uint64)
+    x = np.full(len(words) - take + 1, _C[4] >> np.uint64(take), np.uint64)
     for k in range(take):
         x = (x ^ h[k : len(words) - take + 1 + k]) * _C[k % 3] + (x >> np.uint64(29))
     x ^= x >> np.uint64(32)
