@@ -9,7 +9,6 @@ gradient steps, so features that say nothing weigh exactly nothing and long clea
 
 from __future__ import annotations
 
-import functools
 import re
 from dataclasses import dataclass
 
@@ -21,11 +20,12 @@ from pyspark.sql import functions as F
 from tideline.llm.common import labelled_sample, table
 
 #: Documented bounds of the training sample: labelled documents, and characters of each.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 12_000
 TRAIN_CHARS = 20_000
 GRADES = 4
-#: A feature in fewer training documents than this has no weight.
-MIN_DOCS = 6
+#: A feature in fewer training documents than this, or in more than this share of them, has no weight.
+MIN_DOCS = 4
+MAX_SHARE = 0.08
 PREFIX = 6
 
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -59,7 +59,7 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(np.clip(self.thetas[None, :] - scores[:, None], -50, 50)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 1e-3, steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, penalty: float = 5e-4, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and thresholds of the cumulative logit model; ``rows`` hold the feature numbers of each
     document. Minimises the mean of the binary losses of all thresholds plus ``penalty`` * |w|."""
     k = int(grades.max()) if len(grades) else 1
@@ -90,17 +90,15 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_features: int, pen
     return w, theta
 
 
-def severity(found: list[set[str]], toxic: np.ndarray) -> np.ndarray:
+def severity(rows: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.ndarray:
     """Grades 0 to 3 from the labels: toxic documents by their number of distinct markers (0-1, 2-3, more)."""
-    in_toxic: dict[str, int] = {}
-    in_clean: dict[str, int] = {}
-    for words, bad in zip(found, toxic, strict=True):
-        count = in_toxic if bad else in_clean
-        for w in words:
-            count[w] = count.get(w, 0) + 1
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    marker = {w for w, n in in_toxic.items() if n >= MIN_DOCS and n / n_bad > 20 * (in_clean.get(w, 0) + 0.5) / n_good}
-    hits = np.array([len(words & marker) if bad else 0 for words, bad in zip(found, toxic, strict=True)], dtype=int)
+    share = []
+    for bad in (1, 0):
+        mine = [r for r, t in zip(rows, toxic, strict=True) if t == bad]
+        share.append(np.bincount(np.concatenate(mine) if mine else np.empty(0, np.int64), minlength=n_features) + 0.5 * (1 - bad))
+        share[-1] = share[-1] / max(1, len(mine))
+    marker = (share[0] > 20 * share[1]) & (share[0] * max(1, toxic.sum()) >= MIN_DOCS)
+    hits = np.array([int(marker[r].sum()) for r in rows])
     return np.where(toxic > 0, 1 + (hits >= 2) + (hits >= 4), 0)
 
 
@@ -108,17 +106,16 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, max_chars
     """Fit on a bounded labelled sample. Without both toxic and clean labels nothing is ever toxic."""
     rows = labelled_sample(docs, labels, "toxic", limit, max_chars).toPandas().sort_values(["doc_id", "text"])
     toxic = (rows["label"].to_numpy() > 0).astype(int)
-    found = [features(t) for t in rows["text"]]
     if not len(rows) or toxic.min() == toxic.max():
         return OrdinalModel({}, np.full(GRADES - 1, 50.0))
-    counts: dict[str, int] = {}
-    for words in found:
-        for w in words:
-            counts[w] = counts.get(w, 0) + 1
-    names = sorted(w for w, n in counts.items() if n >= MIN_DOCS)
-    number = {w: i for i, w in enumerate(names)}
-    sparse = [np.array(sorted(number[w] for w in words if w in number), dtype=np.int64) for words in found]
-    w, theta = fit_ordinal(sparse, severity(found, toxic), len(names))
+    number: dict[str, int] = {}
+    found = [np.array(sorted(number.setdefault(w, len(number)) for w in features(t)), dtype=np.int64) for t in rows["text"]]
+    counts = np.bincount(np.concatenate(found), minlength=len(number))
+    used = (counts >= MIN_DOCS) & (counts <= max(MIN_DOCS, MAX_SHARE * len(found)))
+    place = np.cumsum(used) - 1
+    found = [place[r[used[r]]] for r in found]
+    names = [w for w, i in number.items() if used[i]]
+    w, theta = fit_ordinal(found, severity(found, toxic, len(names)), len(names))
     return OrdinalModel({names[i]: float(w[i]) for i in np.flatnonzero(w)}, theta)
 
 
