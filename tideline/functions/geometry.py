@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tideline.functions.numeric import ColumnLike, col, dbl
+from tideline.functions.numeric import ColumnLike, col, dbl, let
 
 TURN = 2 * math.pi
 
@@ -126,14 +126,18 @@ def slerp(q0: Column, q1: Column, alpha: Column) -> Column:
     """Spherical interpolation on the shorter arc; nearly equal quaternions are mixed linearly; unit result."""
     a, b = parts(q0, "x", "y", "z", "w"), parts(q1, "x", "y", "z", "w")
     dot = sum((p * q for p, q in zip(a[1:], b[1:], strict=True)), a[0] * b[0])
-    sign = F.when(dot < 0, -1.0).otherwise(1.0)
-    cosine = F.least(F.abs(dot), F.lit(1.0))
-    angle = F.acos(cosine)
-    near = cosine > 0.9995
-    sine = F.when(near, 1.0).otherwise(F.sin(angle))
-    wa = F.when(near, 1.0 - alpha).otherwise(F.sin((1.0 - alpha) * angle) / sine)
-    wb = F.when(near, alpha).otherwise(F.sin(alpha * angle) / sine) * sign
-    mixed = [p * wa + q * wb for p, q in zip(a, b, strict=True)]
-    norm = F.sqrt(sum((m * m for m in mixed[1:]), mixed[0] * mixed[0]))
-    norm = F.when(norm == 0, 1.0).otherwise(norm)
-    return quaternion(*[m / norm for m in mixed])
+
+    def weights(d: Column) -> Column:
+        angle = F.acos(F.least(F.abs(d), F.lit(1.0)))
+        near = F.abs(d) > 0.9995
+        sine = F.when(near, 1.0).otherwise(F.sin(angle))
+        wa = F.when(near, 1.0 - alpha).otherwise(F.sin((1.0 - alpha) * angle) / sine)
+        wb = F.when(near, alpha).otherwise(F.sin(alpha * angle) / sine)
+        return F.struct(wa.alias("a"), F.when(d < 0, -wb).otherwise(wb).alias("b"))
+
+    def unit(m: Column) -> Column:
+        x, y, z, w = parts(m, "x", "y", "z", "w")
+        return let(F.sqrt(x * x + y * y + z * z + w * w), lambda n: quaternion(*[c / F.when(n == 0, 1.0).otherwise(n) for c in (x, y, z, w)]))
+
+    mixed = let(let(dot, weights), lambda v: quaternion(*[p * v["a"] + q * v["b"] for p, q in zip(a, b, strict=True)]))
+    return let(mixed, unit)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -20,6 +20,11 @@ def dbl(c: ColumnLike) -> Column:
     return col(c).cast("double")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """a / b by IEEE rules: x/0 is an infinity of x's sign, 0/0 and NaN/0 are NaN. Null if either is null."""
     zero = F.when((a == 0) | F.isnan(a), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
