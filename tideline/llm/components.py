@@ -26,6 +26,11 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
+def _mark(edges: DataFrame):
+    """Number of edges and an order-free hash of them."""
+    return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node, component`` (the least node of its component) of every node that has an edge.
 
@@ -35,11 +40,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ends = edges.select(F.greatest(F.col(a), F.col(b)).alias("a"), F.least(F.col(a), F.col(b)).alias("b"))
     ends = ends.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") > F.col("b")) & edges[a].isNotNull() & edges[b].isNotNull())
     now = save(ends.distinct(), "edges")
-    mark = None
+    mark = _mark(now)
     for _ in range(max_rounds):
         then = save(_star(_star(now, small=False), small=True), "edges")
-        key = F.xxhash64("a", "b").cast("decimal(20,0)")
-        found = then.agg(F.count("*").alias("n"), F.sum(key).alias("h")).first()
+        found = _mark(then)
         forget(now)
         now = then
         if mark == found:
