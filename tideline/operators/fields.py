@@ -117,7 +117,8 @@ def plot_xy_trajectory(df: DataFrame, x: ColumnLike, y: ColumnLike, by: Sequence
     paths = [F.struct(F.lit("path").alias("path"), dbl(x).alias("x"), dbl(y).alias("y"))]
     if reference:
         paths.append(F.struct(F.lit("reference").alias("path"), dbl(reference[0]).alias("x"), dbl(reference[1]).alias("y")))
-    rows = df.select(*map(col, by), (F.row_number().over(w) - 1).alias("seq"), F.lead(F.lit(1)).over(w).isNull().alias("is_end"), F.explode(F.array(*paths)).alias("_p"))
+    rows = df.select(*map(col, by), (F.row_number().over(w) - 1).alias("seq"), F.lead(F.lit(1)).over(w).isNull().alias("is_end"), F.array(*paths).alias("_all"))
+    rows = rows.select(*by, "seq", "is_end", F.explode("_all").alias("_p"))  # apart: in one select the rows would be numbered after the explode
     return rows.select(*by, "_p.path", "seq", "_p.x", "_p.y", (F.col("seq") == 0).alias("is_start"), "is_end")
 
 

@@ -60,16 +60,16 @@ def dft(df: DataFrame, x: str, fs: float, by: Names, order: Names, max_rows: int
     Raises for sequences of over ``max_rows`` rows.
     """
     w = sequence(by, order)
-    rows = df.select(*by, F.col(x).cast("double").alias("x"), (F.row_number().over(w) - 1).alias("i"))
-    packed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
-    n = F.when(F.size("v") > max_rows, F.raise_error(F.lit("dft: sequence too long; use fft"))).otherwise(F.size("v"))
-    packed = packed.withColumn("n", n)
-    bins = packed.select(*by, "v", "n", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))).alias("k"))
-    angle = lambda s: 2.0 * np.pi * ((F.col("k") * s["i"]) % F.col("n")) / F.col("n")
-    re = F.aggregate("v", F.lit(0.0), lambda a, s: a + s["x"] * F.cos(angle(s)))
-    im = F.aggregate("v", F.lit(0.0), lambda a, s: a - s["x"] * F.sin(angle(s)))
-    scale = F.when(F.col("k") == 0, 1.0).otherwise(2.0) / F.col("n")
-    return bins.select(*by, (F.col("k") * float(fs) / F.col("n")).alias("frequency"), (F.hypot(re, im) * scale).alias("amplitude"))
+    rows = df.select(*by, F.col(x).cast("double").alias("_x"), (F.row_number().over(w) - 1).alias("_i"))
+    packed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_v"))
+    n = F.when(F.size("_v") > max_rows, F.raise_error(F.lit("dft: sequence too long; use fft"))).otherwise(F.size("_v"))
+    packed = packed.withColumn("_n", n)
+    bins = packed.select(*by, "_v", "_n", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / 2).cast("int"))).alias("_k"))
+    angle = lambda s: 2.0 * np.pi * ((F.col("_k") * s["_i"]) % F.col("_n")) / F.col("_n")
+    re = F.aggregate("_v", F.lit(0.0), lambda a, s: a + s["_x"] * F.cos(angle(s)))
+    im = F.aggregate("_v", F.lit(0.0), lambda a, s: a - s["_x"] * F.sin(angle(s)))
+    scale = F.when(F.col("_k") == 0, 1.0).otherwise(2.0) / F.col("_n")
+    return bins.select(*by, (F.col("_k") * float(fs) / F.col("_n")).alias("frequency"), (F.hypot(re, im) * scale).alias("amplitude"))
 
 
 def butterworth(order: int, cutoff: float, fs: float) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -229,7 +229,7 @@ def sqlite_messages(path: str, chunks: list[Chunk], channels: frozenset[int], st
         for c in chunks:
             sql = f"SELECT topic_id, timestamp, id, data FROM messages WHERE id >= ? AND id < ? AND topic_id IN ({marks}) AND timestamp BETWEEN ? AND ? ORDER BY id"
             for topic, ts, i, data in db.execute(sql, [c.offset, c.offset + c.length, *sorted(channels), start, end]):
-                yield topic, ts, ts, i, bytes(data)
+                yield topic, ts, ts, i << 20, bytes(data)
 
 
 def is_mcap(path: str) -> bool:

@@ -123,6 +123,7 @@ class RosbagReader(DataSourceReader):
             raise ValueError(f"{self.topic}: only ros2msg definitions are supported")
         self.type = short(channels[0].type)
         self.layouts = _layouts(self.type, channels[0].definition, [p for p in options.get("msg_paths", "").split(",") if p])
+        Plan(self.layouts, self.type, self.fields)  # KeyError for fields that aren't there
 
     def schema(self) -> T.StructType:
         message = spark_type(self.layouts, self.type)
@@ -138,7 +139,7 @@ class RosbagReader(DataSourceReader):
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         plan = Plan(self.layouts, self.type, self.fields)
-        order = list(self.files).index(part.file) if part.file else 0
+        before = sum(os.path.getsize(f) for f in self.files[: self.files.index(part.file)]) if part.file else 0
         times: list[tuple[int, int, int]] = []
         rows: list[list] = []
 
@@ -157,7 +158,7 @@ class RosbagReader(DataSourceReader):
                     raise
                 continue
             rows.append(row)
-            times.append((log, published, (order << 58) + place))
+            times.append((log, published, (before << 20) + place))
             if len(rows) >= BATCH:
                 yield batch()
         if rows:
