@@ -8,7 +8,7 @@ confirmed on their full sets, fetched again from the texts.
 
 No bucket is expanded into its pairs. Each round compares a few leaders of a bucket with its members of other
 components, then joins components and forgets buckets that lie in one component; leaders, having been compared
-with all, leave the bucket. The number of leaders grows four times a round, so every pair of a shared bucket
+with all, leave the bucket. The number of leaders grows sixteen times a round, so every pair of a shared bucket
 is linked, implied by links, or tested in the end.
 
 Null ids take no part (component null, kept). Rows that share an id are one node with the links of each.
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         found = _confirmed(pairs, nodes, docs, width, percent)
         links = save(links.union(found), "links")
         component = connected_components(links)
-        leaders *= 4
+        leaders *= 16
         mine = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
         mixed = mine.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("node").alias("first")).where("lo < hi")
         lead = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(leaders)), F.col("size")) < leaders)
