@@ -56,23 +56,23 @@ def with_base(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def share(count: Column) -> Column:
-    return count / F.greatest(F.col("n_words"), F.lit(1))
-
-
-#: name -> whether a document is rejected, over the columns of :func:`with_base`.
+#: name -> SQL condition under which a document is rejected, over the columns of :func:`with_base`.
 RULES = {
-    "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 16 * F.col("n_words")),
-    "symbols": F.col("n_symbols") * 2 > F.col("n_words"),
-    "repeated_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
-    "few_letters": F.col("word_chars") > 2 * F.length(F.regexp_replace("text", "[\\x00-@\\[-`{-\\x7f]+", "")),
-    "shouting": 2 * (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) > F.col("word_chars"),
-    "few_words": share(F.size(F.array_distinct("_w"))) < 0.05,
-    "exclaims": 2 * (F.length("text") - F.length(F.translate("text", "!?", ""))) > F.col("n_words"),
+    "word_length": "word_chars < 2 * n_words OR word_chars > 16 * n_words",
+    "symbols": "n_symbols * 2 > n_words",
+    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "few_letters": r"word_chars > 2 * length(regexp_replace(text, r'[\x00-@\[-`{-\x7f]+', ''))",
+    "shouting": "2 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > word_chars",
+    "few_words": "size(array_distinct(_w)) / greatest(n_words, 1) < 0.05D",
+    "exclaims": "2 * (length(text) - length(translate(text, '!?', ''))) > n_words",
 }
 
 
-def order_rules(sample: DataFrame, rules: dict[str, Column]) -> list[tuple[str, float, float]]:
+def condition(rule: str | Column) -> Column:
+    return F.expr(rule) if isinstance(rule, str) else rule
+
+
+def order_rules(sample: DataFrame, rules: dict[str, str | Column]) -> list[tuple[str, float, float]]:
     """(name, rejected share, seconds) of each rule on the sample, best rejections per second first."""
 
     def run(what: Column) -> tuple[float, float]:
@@ -84,20 +84,20 @@ def order_rules(sample: DataFrame, rules: dict[str, Column]) -> list[tuple[str,
     base = run(F.lit(False))[1]
     found = []
     for name, rule in rules.items():
-        rejected, seconds = run(rule)
+        rejected, seconds = run(condition(rule))
         found.append((name, rejected, max(seconds - base, 1e-4)))
     return sorted(found, key=lambda x: (-x[1] / x[2], x[0]))
 
 
-def cascade(rules: dict[str, Column], order: list[str]) -> Column:
+def cascade(rules: dict[str, str | Column], order: list[str]) -> Column:
     """The first rule of the order that rejects, or null; later rules are not evaluated then."""
     verdict = F
     for name in order:
-        verdict = verdict.when(rules[name], F.lit(name))
+        verdict = verdict.when(condition(rules[name]), F.lit(name))
     return verdict.otherwise(F.lit(None).cast("string")) if order else F.lit(None).cast("string")
 
 
-def judge(docs: DataFrame, rules: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def judge(docs: DataFrame, rules: dict[str, str | Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The columns of :func:`with_base` and ``kept``. The sample decides the order of the rules only."""
     rules = RULES if rules is None else rules
     based = with_base(docs)
