@@ -9,6 +9,7 @@ violators), so scores are shares of good documents.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,9 +43,7 @@ def statistics(text: str | None) -> list[float]:
         return [0.0] * len(STATISTICS)
     words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
     n, k = len(text), max(1, len(words))
-    counts: dict[str, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
+    counts = Counter(words)
     lengths = np.fromiter(map(len, words), np.int32, len(words)) if words else np.zeros(1, np.int32)
     raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     freq = np.bincount(raw, minlength=128)
