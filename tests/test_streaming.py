@@ -1,5 +1,7 @@
 """Rates over a stream of files equal rates over the table."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ def stream(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e = e.withColumn("t", F.unix_micros("ts") / F.lit(1e6))
     e.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(str(tmp_path / "in"))
+    for k, f in enumerate(sorted((tmp_path / "in").glob("part-*"))):
+        os.utime(f, (1_000_000 + k, 1_000_000 + k))  # files arrive in order of time: later rows of older times would be dropped
     return e, spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
 
 
