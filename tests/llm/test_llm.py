@@ -418,6 +418,34 @@ def test_groups_against_brute_force(spark, width, percent):
     assert sorted(i for i in ids if i is not None) == sorted(set(want.values())) and ids.count(None) == 1
 
 
+def test_cells_find_what_pairs_find(spark, monkeypatch):
+    """Large buckets: with cells of four nodes and no small buckets the groups are the same."""
+    monkeypatch.setattr(neardup, "SMALL", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(70):
+        t = list(base)
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = f"x{rng.randint(0, 5)}"
+        rows.append((i, " ".join(t + [f"end{i % 7}"] * rng.randint(0, 2)), "en", "s", 1))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert got == brute_groups(rows, 3, 85)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=2, max_size=12), st.integers(1, 6), st.integers(40, 95))
+def test_linked_pairs_span_all_links(sets, cut, percent):
+    arrays = [np.array(sorted(s), np.int64) for s in sets]
+    n, parts = len(sets), np.arange(len(sets)) % 5
+    left, right = np.arange(min(cut, n - 1)), np.arange(min(cut, n - 1), n)
+    mine = neardup.linked_pairs(arrays, parts, left, right, percent)
+    true = [(i, j) for i in left for j in right if parts[i] != parts[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    assert set(mine) <= set(true)
+    assert brute_components([(parts[i], parts[j]) for i, j in mine]) == brute_components([(parts[i], parts[j]) for i, j in true])
+
+
 def test_no_documents(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0 and neardup.drop_near_duplicates(empty(spark)).count() == 0
 

@@ -6,10 +6,16 @@ set are one node, named by their least id. Bands of register values propose node
 registers and set sizes of two nodes give the likeliest Jaccard similarity; pairs that may reach the limit are
 confirmed on their full sets, fetched again from the texts.
 
-No bucket is expanded into its pairs. Each round compares a few leaders of a bucket with its members of other
-components, then joins components and forgets buckets that lie in one component; leaders, having been compared
-with all, leave the bucket. The number of leaders grows sixteen times a round, so every pair of a shared bucket
-is linked, implied by links, or tested in the end.
+Passages that many documents share would put all of these in one bucket. So shingles are counted over all
+documents, in a table of fixed size, and a band is posted only if one of its registers comes from a shingle
+that isn't common. A document with many common shingles also posts those that come first in order of
+frequency, as many as any document similar enough must share one of (the prefix filter), so it needs no band.
+
+First the least node of each bucket is compared with the others, which settles most groups. Buckets that then
+still hold several components are finished: those of up to SMALL nodes by the pairs that lie in different
+components, larger ones in cells of BLOCK x BLOCK nodes, in which one matrix product gives the sizes of all
+intersections and only the links that join components leave. So every pair of a bucket is linked, implied by
+links, or tested, and no large bucket becomes rows of pairs.
 
 Null ids take no part (component null, kept). Rows that share an id are one node with the links of each.
 Documents without words or with null text have the empty set: linked with nothing, kept.
@@ -32,9 +38,17 @@ from tideline.llm.components import connected_components
 #: Registers, rows of a band, base, rate: at similarity 0.85 all 24 bands fail with 8e-7.
 REGISTERS, ROWS, BASE, RATE = 120, 5, 1.001, 20.0
 BANDS = REGISTERS // ROWS
+#: Counters of shingles, by hash; a counter this many deviations over the mean marks its shingles as common.
+SLOTS, DEVIATIONS, LEAST_COMMON = 1 << 20, 10.0, 30.0
+#: From this share of common shingles on a document posts its prefix: bands do without up to a share of 0.5, and
+#: documents that are similar enough differ in it by less than the rest.
+PREFIX_FROM = 0.3
 #: Slack of the likelihood filter below the limit: over 4 standard errors of 120 registers.
 SLACK = 0.15
 
+#: Nodes of a bucket whose pairs may become rows, and side of a cell of larger ones.
+SMALL, BLOCK = 32, 512
+
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + _RNG.integers(0, 2, REGISTERS, dtype=np.uint64)
@@ -71,17 +85,77 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(x)
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """The uint16 registers of a non-empty set."""
+def _least(hashes: np.ndarray) -> np.ndarray:
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 1024):
         block = hashes[at : at + 1024, None] ^ _XOR
         block *= _MUL
         np.minimum(least, block.min(0), out=least)
+    return least
+
+
+def _quantised(least: np.ndarray) -> np.ndarray:
     h = -np.log1p(-np.minimum((least.astype(np.float64) + 1) / 2.0**64, 1 - 1e-16)) / RATE
     return np.clip(np.floor(1 - np.log(h) / np.log(BASE)), 0, 65535).astype("<u2")
 
 
+def registers(hashes: np.ndarray) -> np.ndarray:
+    """The uint16 registers of a non-empty set."""
+    return _quantised(_least(hashes))
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64) & (SLOTS - 1)
+
+
+def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """Documents by slot of their shingles: ``SLOTS`` counters, whatever the number of documents.
+
+    Each task sums its own, then stretches of them are summed over tasks; only the sums reach the driver.
+    """
+    stretch = SLOTS // 256
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(SLOTS, np.int64)
+        for f in frames:
+            for text in f["text"]:
+                np.add.at(total, _slots(shingles(text, width)), 1)
+        yield pd.DataFrame({"at": np.arange(256, dtype=np.int32), "n": [total[i : i + stretch].tobytes() for i in range(0, SLOTS, stretch)]})
+
+    def add(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"at": f["at"].iloc[:1], "n": [sum(np.frombuffer(bytes(x), np.int64) for x in f["n"]).tobytes()]})
+
+    rows = docs.select("text").mapInPandas(each, "at int, n binary").groupBy("at").applyInPandas(add, "at int, n binary").toPandas()
+    out = np.zeros(SLOTS, np.int64)
+    for at, n in zip(rows["at"], rows["n"], strict=True):
+        out[at * stretch : (at + 1) * stretch] = np.frombuffer(bytes(n), np.int64)
+    return out
+
+
+def ranks_of(counts: np.ndarray) -> np.ndarray:
+    """A byte a slot: 0 where its shingles aren't common, else rising with the counter."""
+    mean = counts.mean()
+    limit = mean + DEVIATIONS * np.sqrt(mean) + LEAST_COMMON
+    over = np.log2(np.maximum(counts / limit, 1.0))
+    return np.where(counts <= limit, 0, 1 + np.minimum(over * 8, 254)).astype(np.uint8)
+
+
+def _posts(hashes: np.ndarray, rank: np.ndarray, percent: int) -> tuple[bytes, np.ndarray]:
+    """The registers of a set, and the buckets that it is posted in."""
+    common = rank > 0
+    rare = _least(hashes[~common])
+    least = np.minimum(rare, _least(hashes[common]))
+    regs = _quantised(least)
+    raw = regs.tobytes()
+    named = (rare == least).reshape(BANDS, ROWS).any(1)
+    out = [xxhash.xxh3_64_intdigest(raw[2 * ROWS * k : 2 * ROWS * (k + 1)], seed=k + 1) for k in np.flatnonzero(named).tolist()]
+    posts = np.array(out, np.uint64)
+    if common.mean() >= PREFIX_FROM:
+        first = np.lexsort((hashes, rank))[: len(hashes) - -(-percent * len(hashes) // 100) + 1]
+        posts = np.concatenate([posts, hashes[first]])
+    return raw, posts.view(np.int64)
+
+
 def _p(x: np.ndarray) -> np.ndarray:
     return -np.log(np.maximum(1 - x * (BASE - 1) / BASE, 1e-12)) / np.log(BASE)
 
@@ -97,18 +171,25 @@ def likeliest(ku: np.ndarray, kv: np.ndarray, nu: np.ndarray, nv: np.ndarray) ->
     return np.take_along_axis(grid, sum(logs).argmax(1)[:, None], 1)[:, 0]
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, key, regs`` of each row: set size, a 128-bit name of the set, registers. Empty sets: null name."""
+def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id, n, key, regs, posts`` of each row: set size, a 128-bit name of the set, registers, buckets.
+    Empty sets: null but for the size."""
+    table_of = docs.sparkSession.sparkContext.broadcast(ranks_of(shingle_counts(docs, width)))  # SLOTS bytes
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ranks = table_of.value
         for f in frames:
             rows = []
             for text in f["text"]:
                 x = shingles(text, width)
-                rows.append((len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), registers(x).tobytes()) if len(x) else (0, None, None))
-            yield pd.DataFrame({"doc_id": f["doc_id"], **dict(zip(("n", "key", "regs"), zip(*rows, strict=True), strict=True))} if rows else {"doc_id": [], "n": [], "key": [], "regs": []})
+                if len(x):
+                    rows.append((len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), *_posts(x, ranks[_slots(x)], percent)))
+                else:
+                    rows.append((0, None, None, None))
+            columns = dict(zip(("n", "key", "regs", "posts"), zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in ("n", "key", "regs", "posts")}
+            yield pd.DataFrame({"doc_id": f["doc_id"], **columns})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, n long, key binary, regs binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, n long, key binary, regs binary, posts array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -148,42 +229,91 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     return links
 
 
+def linked_pairs(sets: list[np.ndarray], parts: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of ``left`` and ``right`` (positions in ``sets``) that join different ``parts``: a
+    spanning forest of them. Intersections are counted exactly, as a product of incidence matrices."""
+    size = np.array([len(x) for x in sets])
+    member = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    member, column = member[keep], number[column[keep]]
+    common = np.zeros((len(left), len(right)), np.float32)
+    by_column = np.argsort(column, kind="stable")
+    member, column = member[by_column], column[by_column]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[member[lo:hi], column[lo:hi] - at] = 1
+        common += m[left] @ m[right].T
+    union = size[left][:, None] + size[right][None, :] - common
+    a, b = np.nonzero((100 * common.astype(np.float64) >= percent * union) & (parts[left][:, None] != parts[right][None, :]))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
+        p, q = find(int(parts[x])), find(int(parts[y]))
+        if p != q:
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
+def _in_cells(large: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of the members (``bucket, node, c, size``) of large buckets."""
+
+    def cell(f: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
+        sets = [np.asarray(x, np.int64) for x in f["s"]]
+        left, right = (np.flatnonzero(f["block"].to_numpy() == k) for k in (i, j))
+        node, part = f["node"].to_numpy(), f["c"].to_numpy()
+        found = linked_pairs(sets, part, left, right, percent) if len(left) and len(right) else []
+        return pd.DataFrame({"a": [max(node[x], node[y]) for x, y in found], "b": [min(node[x], node[y]) for x, y in found]}, dtype="int64")
+
+    full = _sets(docs, large.select("node").distinct(), width)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = large.select("bucket", "node", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).select("bucket", "node", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return rows.join(full, "node").groupBy("bucket", "i", "j").applyInPandas(cell, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row; see the module's text for all cases."""
-    sketched = save(sketches(docs, width), "sketches")
+    sketched = save(sketches(docs, width, percent), "sketches")
     filled = sketched.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
-    nodes = filled.groupBy("key").agg(F.min(F.struct("doc_id", "n", "regs")).alias("r"))
-    nodes = save(nodes.select("key", F.col("r.doc_id").alias("node"), F.col("r.n").alias("n"), F.col("r.regs").alias("regs")), "nodes")
+    nodes = filled.groupBy("key").agg(F.min(F.struct("doc_id", "n", "regs", "posts")).alias("r"))
+    nodes = save(nodes.select("key", F.col("r.doc_id").alias("node"), F.col("r.n").alias("n"), F.col("r.regs").alias("regs"), F.col("r.posts").alias("posts")), "nodes")
 
     # Rows of one id in several sets join these sets' nodes.
     named = filled.select("doc_id", "key").join(nodes.select("key", "node"), "key").select("doc_id", "node")
     several = named.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id")
-    links = save(named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "links")
+    same = named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
 
-    band = [F.xxhash64(F.lit(k), F.substring("regs", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)]
-    posted = nodes.select("node", F.explode(F.array(*band)).alias("bucket"))
-    shared = posted.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket", F.col("lo").alias("leader"))
+    posted = nodes.select("node", F.explode("posts").alias("bucket"))
+    shared = posted.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("hi")).where("leader < hi").select("bucket", "leader")
     members = save(posted.join(shared, "bucket"), "members")
-    pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    members, used = members.where("node <> leader").select("bucket", "node"), members
-    leaders = 1
-    while True:
-        found = _confirmed(pairs, nodes, docs, width, percent)
-        links = save(links.union(found), "links")
-        component = connected_components(links)
-        leaders *= 16
-        mine = members.join(component, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-        mixed = mine.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min("node").alias("first")).where("lo < hi")
-        lead = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(leaders)), F.col("size")) < leaders)
-        then = save(mine.join(mixed, "bucket").select("bucket", "node", "c", lead.alias("lead")), "members")
-        forget(used)
-        used = then
-        if then.isEmpty():
-            break
-        a = then.where("lead").select("bucket", F.col("node").alias("a"), F.col("c").alias("ca"))
-        b = then.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
-        pairs = a.join(b, "bucket").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        members = then.where("not lead").select("bucket", "node")
+    pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    links = save(same.union(_confirmed(pairs, nodes, docs, width, percent)), "links")
+    component = connected_components(links)
+
+    mine = members.join(component, "node", "left").select("bucket", "node", "leader", F.coalesce("component", "node").alias("c"))
+    mixed = mine.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
+    rest = save(mine.join(mixed, "bucket"), "rest")
+    forget(members)
+    few = rest.where((F.col("size") <= SMALL) & (F.col("node") != F.col("leader")))
+    a = few.select("bucket", F.col("node").alias("a"), F.col("c").alias("ca"))
+    b = few.select("bucket", F.col("node").alias("b"), F.col("c").alias("cb"))
+    pairs = a.join(b, "bucket").where("ca <> cb and a > b").select("a", "b").distinct()
+    more = save(_confirmed(pairs, nodes, docs, width, percent).union(_in_cells(rest.where(F.col("size") > SMALL), docs, width, percent)), "links")
+    if not more.isEmpty():
+        component = connected_components(links.union(more))
 
     named = nodes.select("key", "node").join(component, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
     # The id of a set-less row can be a node through another row of that id.
