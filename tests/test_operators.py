@@ -225,6 +225,13 @@ def test_align_time(spark):
     assert [(r["t"], r["v_a"], r["v_b"], r["s_b"]) for r in got] == [(0, 0, 0, "x"), (0.5, 5, 100, "x")]
 
 
+def test_align_time_refuses_repeated_times(spark):
+    a = seq(spark, [0, 1, 1], v=[0, 1, 2]).select("t", "v")
+    with pytest.raises(ValueError, match="repeats a time"):
+        align.align_time(a, a, "t")
+    assert align.align_time(a, a, "t", strict=False).count() == 2
+
+
 def test_resample(spark):
     df = seq(spark, [0, 1, 2], v=[0, 10, 20]).select("k", "t", "v")
     got = align.resample(df, 0.5, "t", BY).orderBy("t").collect()

@@ -78,12 +78,16 @@ def _between(t: Column, left: Column, right: Column) -> Column:
     return F.when(left.isNull(), F.lit(None).cast("double")).when(right.isNull() | (left["_t"] == t) | (right["_t"] == left["_t"]), left["v"]).otherwise(line)
 
 
-def align_time(a: DataFrame, b: DataFrame, t: str, by: Names = (), suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+def align_time(a: DataFrame, b: DataFrame, t: str, by: Names = (), suffixes: tuple[str, str] = ("_a", "_b"), strict: bool = True) -> DataFrame:
     """Both frames on the union of their times within their common span, one row a time.
 
-    Numbers are interpolated in time, other columns carried forward. ValueError is left to the caller for
-    repeated times: use :func:`repeated_times` first; here the last row in the engine's order of a time counts.
+    Numbers are interpolated in time, other columns carried forward. Times that a sequence repeats are a
+    ValueError; ``strict=False`` saves the pass that looks for them, and any one row of such a time then counts.
     """
+    if strict:
+        for df in (a, b):
+            if not repeated_times(df, t, by).isEmpty():
+                raise ValueError("align_time: a sequence repeats a time")
     spans = []
     for df, n in ((a, "a"), (b, "b")):
         x = dbl(t)
