@@ -162,6 +162,7 @@ class Codec:
     def __init__(self, path: str, keep: int = 250_000):
         self.automaton, self.added = load(path)
         self.labels = self.automaton.label | {i: s.encode() for s, i in self.added.items()}
+        self.names = {i: str(i) for i in self.labels}
         self.keep = keep
         self.pieces = regex.compile(PIECES)
         self.unusual = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -186,7 +187,7 @@ class Codec:
             ids = self.automaton.encode_word(chunk.encode())
         else:
             ids = [i for piece in self.pieces.findall(chunk) for i in self._word(piece)]
-        return tuple(ids), ",".join(map(str, ids)), b"".join(map(self.labels.__getitem__, ids))
+        return tuple(ids), ",".join(map(self.names.__getitem__, ids)), b"".join(map(self.labels.__getitem__, ids))
 
     def _after_blank(self, part: str) -> tuple[tuple[int, ...], str, bytes]:
         found = self._found(" " + part)
