@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import forget, save, table
@@ -46,6 +46,8 @@ PREFIX_FROM = 0.3
 #: Slack of the likelihood filter below the limit: over 4 standard errors of 120 registers.
 SLACK = 0.15
 
+#: Bits of the bitmap that keeps texts of other documents out of the shuffle (1 MB of bits, 2 MB in the driver).
+WANTED_BITS = 1 << 23
 #: Nodes of a bucket whose pairs may become rows, and side of a cell of larger ones.
 SMALL, BLOCK = 32, 512
 
@@ -116,10 +118,15 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     stretch = SLOTS // 256
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SLOTS, np.int64)
+        total, held, size = np.zeros(SLOTS, np.int64), [], 0
         for f in frames:
             for text in f["text"]:
-                np.add.at(total, _slots(shingles(text, width)), 1)
+                held.append(_slots(shingles(text, width)))
+                size += len(held[-1])
+                if size > SLOTS:
+                    total += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, size = [], 0
+        total += np.bincount(np.concatenate([*held, np.empty(0, np.int64)]), minlength=SLOTS)
         yield pd.DataFrame({"at": np.arange(256, dtype=np.int32), "n": [total[i : i + stretch].tobytes() for i in range(0, SLOTS, stretch)]})
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
@@ -199,10 +206,28 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for f in frames:
             yield pd.DataFrame({"node": f["doc_id"], "s": [shingles(t, width).view(np.int64) for t in f["text"]]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(_may_be_in(F.col("doc_id"), wanted))
     return rows.join(wanted, rows.doc_id == wanted.node, "left_semi").mapInPandas(each, "node long, s array<long>")
 
 
+def _may_be_in(doc_id: Column, wanted: DataFrame) -> Column:
+    """False for most ids that aren't in ``wanted`` (``node``), so that their texts needn't be shuffled: a bitmap of
+    WANTED_BITS bits, of fixed size, made by a grouped bit_or. It only saves work; the join behind it decides."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(WANTED_BITS))
+    own = wanted.select(slot(F.col("node")).alias("slot"))
+    words = own.groupBy(F.floor(F.col("slot") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 32 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(WANTED_BITS // 32, np.int64)
+    bits[words["word"]] = words["bits"]
+    shared = wanted.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
+
+    @F.pandas_udf("boolean")
+    def test(slots: pd.Series) -> pd.Series:
+        at = slots.fillna(0).to_numpy(np.int64)
+        return pd.Series((shared.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1)
+
+    return test(slot(doc_id))
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full sets reach ``percent``: by sizes, by likelihood, then exactly."""
     limit = percent / 100
