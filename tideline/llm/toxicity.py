@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import labelled_sample, table
 
 #: Documented bounds of the training sample: labelled documents, and characters of each.
-TRAIN_ROWS = 12_000
-TRAIN_CHARS = 20_000
+TRAIN_ROWS = 8000
+TRAIN_CHARS = 12_000
 GRADES = 4
 #: A feature in fewer training documents than this, or in more than this share of them, has no weight.
 MIN_DOCS = 4
@@ -109,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, max_chars
     if not len(rows) or toxic.min() == toxic.max():
         return OrdinalModel({}, np.full(GRADES - 1, 50.0))
     number: dict[str, int] = {}
-    found = [np.array(sorted(number.setdefault(w, len(number)) for w in features(t)), dtype=np.int64) for t in rows["text"]]
+    found = [np.array(sorted(number.setdefault(w, len(number)) for w in features(t)), dtype=np.int32) for t in rows["text"]]
+    del rows
     counts = np.bincount(np.concatenate(found), minlength=len(number))
     used = (counts >= MIN_DOCS) & (counts <= max(MIN_DOCS, MAX_SHARE * len(found)))
     place = np.cumsum(used) - 1
