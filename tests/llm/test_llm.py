@@ -215,6 +215,20 @@ def test_toxicity(spark, learned):
     assert kept.columns == awkward(spark).columns and kept.count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("share", [0.1, 1 / 3])
+def test_copies_of_a_toxic_text_are_caught(spark, learned, share):
+    docs, labels, by = learned
+    n = round(len(by) * share / (1 - share))
+    text = docs.join(labels, "doc_id").where("toxic = 1 and n_chars between 3000 and 10000").orderBy("doc_id").first()["text"]
+    copies = frame(spark, [(10**6 + i, text, "en", "copies", len(text)) for i in range(n)])
+    more = frame(spark, [(10**6 + i, 0, 1) for i in range(n)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs.union(copies), labels.union(more))
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(docs.union(copies), model).select("doc_id").collect()}
+    assert not any(i >= 10**6 for i in kept)
+    assert np.mean([i in kept for i, r in by.items() if not r["toxic"]]) > 0.99
+    assert np.mean([i in kept for i, r in by.items() if r["toxic"]]) < 0.2
+
+
 def test_ordinal_regression_recovers_order():
     rng = np.random.default_rng(0)
     rows = [np.flatnonzero(rng.random(20) < 0.3) for _ in range(3000)]

@@ -23,7 +23,8 @@ from tideline.llm.common import labelled_sample, table
 TRAIN_ROWS = 8000
 TRAIN_CHARS = 12_000
 GRADES = 4
-#: A feature in fewer training documents than this, or in more than this share of them, has no weight.
+#: A feature in fewer training documents than MIN_DOCS, or in more than this share of the distinct clean ones, has
+#: no weight. Equal texts count MIN_DOCS times at most, so copies have weights of their own but don't crowd out others.
 MIN_DOCS = 4
 MAX_SHARE = 0.08
 PREFIX = 6
@@ -104,17 +105,22 @@ def severity(rows: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.n
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> OrdinalModel:
     """Fit on a bounded labelled sample. Without both toxic and clean labels nothing is ever toxic."""
-    rows = labelled_sample(docs, labels, "toxic", limit, max_chars).toPandas().sort_values(["doc_id", "text"])
-    toxic = (rows["label"].to_numpy() > 0).astype(int)
+    rows = labelled_sample(docs, labels, "toxic", limit, max_chars).toPandas()
+    rows = rows.assign(label=rows["label"] > 0).groupby("text")["label"].agg(["mean", "size"]).reset_index()
+    toxic = (rows["mean"].to_numpy() >= 0.5).astype(int)  # the label of most copies
+    times = rows["size"].to_numpy().clip(max=MIN_DOCS)
     if not len(rows) or toxic.min() == toxic.max():
         return OrdinalModel({}, np.full(GRADES - 1, 50.0))
     number: dict[str, int] = {}
     found = [np.array(sorted(number.setdefault(w, len(number)) for w in features(t)), dtype=np.int32) for t in rows["text"]]
     del rows
-    counts = np.bincount(np.concatenate(found), minlength=len(number))
-    used = (counts >= MIN_DOCS) & (counts <= max(MIN_DOCS, MAX_SHARE * len(found)))
+    at, lengths = np.concatenate(found), [len(r) for r in found]
+    counts = np.bincount(at, np.repeat(times, lengths), len(number))
+    clean = np.bincount(at, np.repeat(1 - toxic, lengths), len(number))
+    used = (counts >= MIN_DOCS) & (clean <= max(MIN_DOCS, MAX_SHARE * (1 - toxic).sum()))
     place = np.cumsum(used) - 1
-    found = [place[r[used[r]]] for r in found]
+    found = [r for r, n in zip((place[r[used[r]]] for r in found), times, strict=True) for _ in range(n)]
+    toxic = np.repeat(toxic, times)
     names = [w for w, i in number.items() if used[i]]
     w, theta = fit_ordinal(found, severity(found, toxic, len(names)), len(names))
     return OrdinalModel({names[i]: float(w[i]) for i in np.flatnonzero(w)}, theta)
