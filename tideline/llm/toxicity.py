@@ -17,11 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import labelled_sample, table
+from tideline.llm.common import forget, labelled_sample, save, table
 
 #: Documented bounds of the training sample: labelled documents, and characters of each.
-TRAIN_ROWS = 8000
-TRAIN_CHARS = 12_000
+TRAIN_ROWS = 12_000
+TRAIN_CHARS = 20_000
 GRADES = 4
 #: A feature in fewer training documents than MIN_DOCS, or in more than this share of the distinct clean ones, has
 #: no weight. Equal texts count MIN_DOCS times at most, so copies have weights of their own but don't crowd out others.
@@ -44,6 +44,32 @@ def features(text: str | None) -> set[str]:
     return found | {w[:PREFIX] + "~" for w in found if len(w) > PREFIX}
 
 
+def hashed(names: list[str]) -> np.ndarray:
+    """64-bit hashes that stand for features in the training sample."""
+    return pd.util.hash_array(np.array(names, dtype=object), categorize=False)
+
+
+def _hashes(text: str) -> Column:
+    """The sorted hashes of the text's features as bytes, so that the driver holds neither texts nor words."""
+
+    @F.pandas_udf("binary")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.sort(hashed(list(features(t)))).tobytes() for t in texts], dtype=object)
+
+    return found(F.col(text))
+
+
+def _named(text: str, hashes: np.ndarray) -> Column:
+    """The text's features whose hashes are in ``hashes``."""
+
+    @F.pandas_udf("array<string>")
+    def names(texts: pd.Series) -> pd.Series:
+        each = [np.array(list(features(t)), dtype=object) for t in texts]
+        return pd.Series([list(x[np.isin(hashed(x), hashes)]) for x in each], dtype=object)
+
+    return names(F.col(text))
+
+
 @dataclass
 class OrdinalModel:
     """Weights by feature and the rising thresholds of grades 1, 2, ..."""
@@ -105,25 +131,30 @@ def severity(rows: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.n
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> OrdinalModel:
     """Fit on a bounded labelled sample. Without both toxic and clean labels nothing is ever toxic."""
-    rows = labelled_sample(docs, labels, "toxic", limit, max_chars).toPandas()
-    rows = rows.assign(label=rows["label"] > 0).groupby("text")["label"].agg(["mean", "size"]).reset_index()
-    toxic = (rows["mean"].to_numpy() >= 0.5).astype(int)  # the label of most copies
-    times = rows["size"].to_numpy().clip(max=MIN_DOCS)
+    rows = labelled_sample(docs, labels, "toxic", limit, max_chars)
+    sample = save(rows.groupBy("text").agg(F.avg((F.col("label") > 0).cast("int")).alias("share"), F.count("*").alias("times")), "toxic")
+    rows = sample.select(F.md5(F.col("text").cast("binary")).alias("key"), "share", "times", _hashes("text").alias("found")).toPandas().sort_values("key")
+    toxic = (rows["share"].to_numpy() >= 0.5).astype(int)  # the label of most copies
+    times = rows["times"].to_numpy().clip(max=MIN_DOCS)
     if not len(rows) or toxic.min() == toxic.max():
         return OrdinalModel({}, np.full(GRADES - 1, 50.0))
-    number: dict[str, int] = {}
-    found = [np.array(sorted(number.setdefault(w, len(number)) for w in features(t)), dtype=np.int32) for t in rows["text"]]
+    lengths = rows["found"].str.len().to_numpy() // 8
+    number, at = np.unique(np.frombuffer(b"".join(rows["found"]), np.uint64), return_inverse=True)
     del rows
-    at, lengths = np.concatenate(found), [len(r) for r in found]
     counts = np.bincount(at, np.repeat(times, lengths), len(number))
     clean = np.bincount(at, np.repeat(1 - toxic, lengths), len(number))
     used = (counts >= MIN_DOCS) & (clean <= max(MIN_DOCS, MAX_SHARE * (1 - toxic).sum()))
-    place = np.cumsum(used) - 1
-    found = [r for r, n in zip((place[r[used[r]]] for r in found), times, strict=True) for _ in range(n)]
+    place = (np.cumsum(used) - 1).astype(np.int32)
+    found = [place[r[used[r]]] for r in np.split(at, np.cumsum(lengths)[:-1])]
+    del at
+    found = [r for r, n in zip(found, times, strict=True) for _ in range(n)]
     toxic = np.repeat(toxic, times)
-    names = [w for w, i in number.items() if used[i]]
-    w, theta = fit_ordinal(found, severity(found, toxic, len(names)), len(names))
-    return OrdinalModel({names[i]: float(w[i]) for i in np.flatnonzero(w)}, theta)
+    number = number[used]
+    w, theta = fit_ordinal(found, severity(found, toxic, len(number)), len(number))
+    weight = {int(number[i]): float(w[i]) for i in np.flatnonzero(w)}
+    named = sample.select(F.explode(_named("text", np.array(list(weight), np.uint64))).alias("name")).distinct().toPandas()["name"].tolist()
+    forget(sample)
+    return OrdinalModel({x: weight[int(h)] for x, h in sorted(zip(named, hashed(named), strict=True))}, theta)
 
 
 def graded(text: Column, model: OrdinalModel) -> Column:
