@@ -30,10 +30,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, each copy a row."""
-    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """Documents as often as the mix takes them, each copy a row, in the order of the training positions.
+
+    Copies are joined to texts by the md5 of the whole row, which is one for rows that are equal only.
+    """
+    key = F.md5(F.to_json(F.struct(*docs.columns)).cast("binary")).alias("_row_key")
+    plan = mixing.schedule(mixing.mix(docs.select("doc_id", "source", "text", key), carry=("_row_key",)))
+    plan = plan.select("_row_key", "position", F.col("source").alias("_source"), "epoch", F.col("doc_id").alias("_doc"))
+    rows = docs.select(key, F.struct(*docs.columns).alias("_row")).groupBy("_row_key").agg(F.first("_row").alias("_row"))
+    return plan.join(rows, "_row_key").orderBy("position", "_source", "epoch", "_doc", "_row_key").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,12 @@ def test_stages(spark):
         before = after
 
 
+def test_mix_is_written_in_the_order_of_its_schedule(spark):
+    docs = common.table(spark, SF, "documents")
+    want = [r["doc_id"] for r in mixing.schedule(mixing.mix(docs)).collect()]
+    assert [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()] == want != sorted(want)
+
+
 def test_filters_reject_and_keep(spark):
     docs, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
     by = {r["doc_id"]: r for r in labels.collect()}

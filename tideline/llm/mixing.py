@@ -62,8 +62,9 @@ def position(done: Column, slope: Column) -> Column:
     return F.when(slope == 0, done).otherwise(root)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, share: float = 1.5, max_epochs: int = 2) -> DataFrame:
-    """``doc_id, source, size, source_size, target, weight, slope, copies, begins`` of every document.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, share: float = 1.5, max_epochs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, source, size, source_size, target, weight, slope, copies, begins`` of every document, and the
+    columns named in ``carry``.
 
     ``copies`` is how often the mix takes the whole document and ``begins`` the tokens of its source before it
     in the first epoch. A copy is taken if its middle lies below the target, so a source misses its target by
@@ -74,7 +75,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[flo
     sums, so a source with a third of all rows isn't one task's work.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("_h", key)
+    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *carry).withColumn("_h", key)
     d = save(d.withColumn("_b", F.substring("_h", 1, DIGITS)), "sizes")  # else each use reads the texts
     sums = d.groupBy("source", "_b").agg(F.sum("size").alias("_size"))
     goal = targets(sums.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, max_epochs)
@@ -85,12 +86,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[flo
     known = s.join(g, F.col("s.source").eqNullSafe(F.col("g.source"))).select("s.source", "_b", "_ahead", "source_size", "target", "weight", "slope")
     k = known.alias("k")
     d = d.alias("d").join(k, F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d._b") == F.col("k._b")))
-    d = d.select("doc_id", "d.source", "size", "d._b", "_h", "_ahead", "source_size", "target", "weight", "slope")
-    within = W.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    d = d.select("doc_id", "d.source", "size", *carry, "d._b", "_h", "_ahead", "source_size", "target", "weight", "slope")
+    within = W.partitionBy("source", "_b").orderBy("_h", "doc_id", "size", *carry).rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("begins", F.col("_ahead") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     middle = F.col("begins") + F.col("size") / 2.0
     taken = sum((F.when((F.col("size") > 0) & (middle + F.col("source_size") * float(e) < F.col("target")), 1).otherwise(0) for e in range(max_epochs)), F.lit(0))
-    return d.select("doc_id", "source", "size", "source_size", "target", "weight", "slope", taken.cast("long").alias("copies"), "begins")
+    return d.select("doc_id", "source", "size", "source_size", "target", "weight", "slope", taken.cast("long").alias("copies"), "begins", *carry)
 
 
 def schedule(mixed: DataFrame) -> DataFrame:
