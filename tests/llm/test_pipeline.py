@@ -40,6 +40,16 @@ def test_mix_is_written_in_the_order_of_its_schedule(spark):
     assert [r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()] == want != sorted(want)
 
 
+def test_mix_of_many_null_ids(spark):
+    rows = [(None, f"{i} " * (1 + i % 7), "en", "abc"[i % 3], i) for i in range(300)] + [(None, "same text", "en", "c", 0)] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, SF).collect():
+        got[r["source"]] += len(r["text"].split())
+    for r in mixing.mix(docs).select("source", "target").distinct().collect():
+        assert abs(got[r["source"]] - r["target"]) <= 3.5
+
+
 def test_filters_reject_and_keep(spark):
     docs, labels = common.table(spark, "/root/testdata/sf0.01", "documents"), common.table(spark, "/root/testdata/sf0.01", "labels")
     by = {r["doc_id"]: r for r in labels.collect()}
