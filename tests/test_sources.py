@@ -1,14 +1,16 @@
 """Recordings written by our own bytes and read back: schemas, CDR, MCAP, SQLite, catalog, cache."""
 
 import os
+import struct
 import sys
 
 import pytest
 from pyspark.sql import types as T
 
 sys.path.insert(0, os.path.dirname(__file__))
-from bagwriter import TWIST, Cdr, metadata, twist, write_db3, write_mcap  # noqa: E402
+from bagwriter import TWIST, Cdr, metadata, record, twist, write_db3, write_mcap  # noqa: E402
 
+from tideline.sources import containers  # noqa: E402
 from tideline.sources import recording as R  # noqa: E402
 from tideline.sources.cdr import DecodeError, Plan  # noqa: E402
 from tideline.sources.msgdef import common_layouts, parse_schema, register_msg_types, spark_type  # noqa: E402
@@ -96,6 +98,19 @@ def test_no_summary_and_uncompressed_messages(spark, tmp_path):
     assert R.open_recording(spark, str(tmp_path))["/t"].count() == 70
 
 
+def test_summary_without_chunks(spark, tmp_path):
+    topic = {1: ("/t", "geometry_msgs/msg/TwistStamped", TWIST)}
+    write_mcap(tmp_path / "x.mcap", topic, [])
+    data = (tmp_path / "x.mcap").read_bytes()
+    end = data.index(struct.pack("<BQI", containers.DATA_END, 4, 0))
+    loose = b"".join(record(containers.MESSAGE, struct.pack("<HIQQ", c, k, log, pub) + x) for k, (c, log, pub, x) in enumerate(messages(70)))
+    stats = data.index(struct.pack("<BQ", containers.STATISTICS, 46), end)
+    tail = data[end:stats] + record(containers.STATISTICS, struct.pack("<QHIIIIQQI", 70, 1, 1, 0, 0, 0, 0, 0, 10) + struct.pack("<HQ", 1, 70))
+    where = end + len(loose) + 13
+    (tmp_path / "x.mcap").write_bytes(data[:end] + loose + tail + record(containers.FOOTER, struct.pack("<QQI", where, 0, 0)) + containers.MAGIC)
+    assert R.open_recording(spark, str(tmp_path))["/t"].count() == 70
+
+
 def test_empty_topic_has_its_columns(spark, tmp_path):
     write_mcap(tmp_path / "x.mcap", {1: ("/t", "geometry_msgs/msg/TwistStamped", TWIST)}, [])
     df = R.open_recording(spark, str(tmp_path))["/t"]

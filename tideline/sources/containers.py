@@ -75,6 +75,7 @@ class Chunk:
 class Summary:
     channels: dict[int, Channel] = field(default_factory=dict)
     chunks: list[Chunk] = field(default_factory=list)
+    messages: int | None = None
 
 
 def open_file(path: str):
@@ -125,14 +126,14 @@ def _collect(found: Iterator[tuple[int, memoryview]], out: Summary, schemas: dic
             out.chunks.append(Chunk(start, end, offset, length, has or None))
         elif op == STATISTICS:
             b = Body(body)
-            b.take("QHIIIIQQ")
+            out.messages = b.take("QHIIIIQQ")[0]
             for c, n in b.pairs("HQ"):
                 if c in out.channels:
                     out.channels[c].count = n
 
 
 def read_summary(path: str) -> Summary:
-    """Channels and chunks: from the summary section, or by walking the file if it has none."""
+    """Channels and chunks: from the summary section, or by walking the file if it has none or lists no chunks."""
     out, schemas = Summary(), {}
     with open_file(path) as f:
         size = f.seek(0, 2) or f.tell()
@@ -148,7 +149,7 @@ def read_summary(path: str) -> Summary:
         if start:
             f.seek(start)
             _collect(records(memoryview(f.read(size - 37 - start))), out, schemas)
-            if out.channels:
+            if out.channels and (out.chunks or out.messages == 0):
                 return out
         at = 8
         while at + 9 <= size:
