@@ -284,6 +284,12 @@ def test_languages(spark, learned):
     assert langid.train(empty(spark)).languages == []
 
 
+def test_languages_under_repeated_ids_are_learned(spark):
+    low, high = [i for i in range(1, 20) if not held_out(i)][:2]
+    rows = [(i, f"{word} {k}", word, "a", 1) for i, word in ((low, "en"), (high, "fr")) for k in range(100)]
+    assert langid.train(frame(spark, rows), limit=20, steps=2).languages == ["en", "fr"]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6, 9, 20])
 def test_codewords_differ(n):
     c = langid.codewords(n)

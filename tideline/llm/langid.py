@@ -86,13 +86,13 @@ class CodeModel:
 
 
 def train(docs: DataFrame, limit: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS, steps: int = 120) -> CodeModel:
-    """Learn from text and non-null lang of a bounded sample outside fold 2; ids only choose the sample's rows."""
-    ids = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & (fold("doc_id") != 2)).select("doc_id")
-    few = ids.distinct().orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), "doc_id").limit(limit).withColumnRenamed("doc_id", "_id")
+    """Learn from text and non-null lang of a bounded sample outside fold 2: the first ``limit`` distinct rows by hash."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & (fold("doc_id") != 2))
-    rows = rows.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "lang").toPandas()  # broadcast: at most `limit` ids
+    rows = rows.withColumn("_k", F.xxhash64("doc_id", "text", "lang"))
+    few = rows.select("_k").distinct().orderBy("_k").limit(limit)
+    rows = rows.join(F.broadcast(few), "_k").dropDuplicates(["_k"]).select("doc_id", "text", "lang").toPandas()  # broadcast: at most `limit` hashes
     rows = rows[[bool(_LETTER.search(t)) for t in rows["text"]]] if len(rows) else rows
-    rows = rows.sort_values(["doc_id", "lang", "text"]).head(2 * limit)
+    rows = rows.sort_values(["doc_id", "lang", "text"])
     languages = sorted(set(rows["lang"]))
     codes = codewords(len(languages))
     if not languages:
