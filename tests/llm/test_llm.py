@@ -347,6 +347,19 @@ def test_url_rules_and_aliases(spark):
     assert urls.judge(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_relative_encoded_and_repeated_links(spark):
+    canonical = '<link href="{}" rel="canonical">'.format
+    link = {
+        1: ("http://a.org/x/y", "index.html", "http://a.org/x/index.html"), 2: ("http://a.org/x/y?q", "?id=2", "http://a.org/x/y?id=2"), 3: ("http://a.org/x/y/z", "../w?a=..", "http://a.org/x/w?a=.."),
+        4: ("http://a.org", "b", "http://a.org/b"), 5: ("http://a.org/x", "/p?a=1&amp;b=2&#38;c=3&#x26;d", "http://a.org/p?a=1&b=2&c=3&d"), 6: ("http://a.org/x/y", "./.", "http://a.org/x/"), 7: ("http://a.org/x", "mailto:a", None), 8: ("none", "b", None),
+    }
+    rows = frame(spark, [(i, u, canonical(x)) for i, (u, x, _) in link.items()], "page_id long, url string, html string")
+    got = {r["page_id"]: r["l"] for r in rows.select("page_id", urls.links_of(F.col("html"), F.col("url")).alias("l")).collect()}
+    assert got == {i: [] if want is None else [want] for i, (_, _, want) in link.items()}
+    two = [page(1, "http://c.org/1", canonical("http://d.org/"), canonical("https://b.net/fr/9")), page(2, "http://e.org/a/b", canonical("../1?x&amp;y")), page(3, "http://e.org/1?x&y", canonical("http://b.net/es/"))]
+    assert [r["verdict"] for r in urls.judge(frame(spark, two, "page_id long, url string, html string")).orderBy("page_id").collect()] == ["block"] * 3
+
+
 def test_joined_rules_equal_listed_ones(spark):
     pages = common.table(spark, SF, "pages").select(F.col("page_id").alias("id"), urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
     table = spark.createDataFrame(list(urls.RULES), "host string, path string, verdict string")

@@ -6,7 +6,7 @@ and none allows one, and allowed otherwise. Edges come from ``<link rel=canonica
 ``og:url`` in the page; urls that differ only in scheme, fragment or tracking parameters are one node.
 
 Null urls and urls without ``://`` have empty host and path, fit no rule, have no aliases and are allowed.
-Repeated rows are judged each. Links other than absolute, scheme-relative and root-relative ones are ignored.
+Repeated rows are judged each. All links of a page count; relative ones are resolved against its url.
 """
 
 from __future__ import annotations
@@ -77,25 +77,63 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.md5(F.concat_ws("\n", host_of(url), path, F.regexp_replace(query, "^&", "")).cast("binary")))
 
 
-def link_of(html: Column, url: Column) -> list[Column]:
-    """The absolute canonical, og:url and refresh targets of a page; null where there is none."""
-    found = [
-        F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, OG_URL, 0), CONTENT, 1),
-        F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1),
-    ]
+def decoded(text: Column) -> Column:
+    """The text with its numeric entities and the five named ones of XML decoded."""
+
+    def one(part: Column, i: Column) -> Column:
+        hexed = F.conv(F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1), 16, 16)
+        hexed = F.when(part.rlike(r"^[xX][0-9a-fA-F]{1,6};"), hexed).when(part.rlike(r"^\d{1,7};"), F.conv(F.regexp_extract(part, r"^(\d{1,7});", 1), 10, 16))
+        char = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
+        known = hexed.isNotNull() & (F.conv(hexed, 16, 10).cast("long") <= 0x10FFFF)
+        return F.when(i == 0, part).when(known, F.concat(char, F.regexp_replace(part, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    text = F.when(text.contains("&#"), F.array_join(F.transform(F.split(text, "&#"), one), "")).otherwise(text)
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
+def without_dots(path: Column) -> Column:
+    """The absolute path without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    push = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), push)
+    open_ = F.element_at(parts, -1).isin(".", "..")
+    return F.array_join(F.when(open_, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+
+
+def resolved(link: Column, url: Column) -> Column:
+    """The link as an absolute url; null for schemes without ``://``, and for relative links of a url without it."""
     origin = F.regexp_extract(url, r"(?s)^(.*?)://([^/?#]*)", 0)
     scheme = F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
-    return [
-        F.when(x.contains("://"), x).when(x.startswith("//"), F.concat(scheme, x)).when(x.startswith("/"), F.concat(origin, x))
-        for x in found
-    ]
+    own, rest = F.regexp_extract(link, r"(?s)^[^?#]*", 0), F.regexp_extract(link, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
+    path = F.when(own == "", path_of(url)).otherwise(without_dots(F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when((link == "") | (origin == "") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(link.startswith("//"), F.concat(scheme, link)).otherwise(F.concat(origin, path, rest))
+    )
+
+
+def _value(pattern: str):
+    return lambda tag: F.regexp_extract(tag, pattern, 1)
+
+
+def links_of(html: Column, url: Column) -> Column:
+    """The absolute targets of all canonical, og:url and refresh tags of a page."""
+    found = [
+        F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), _value(value))
+        for tag, value in ((CANONICAL, HREF), (OG_URL, CONTENT), (REFRESH, REFRESH_URL))
+    ]
+    links = F.coalesce(F.concat(*found), F.array().cast("array<string>"))
+    return F.array_compact(F.transform(links, lambda x: resolved(decoded(x), url)))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, node, component`` of each page."""
     url = F.col("url")
-    p = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), F.array_compact(F.array(*link_of(F.col("html"), url))).alias("links"))
+    p = pages.select("page_id", "url", host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"), links_of(F.col("html"), url).alias("links"))
     p = save(p.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "node", "links", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("decided")), "urls")
     out = p.where(F.size("links") > 0).select("node", F.explode("links").alias("link"))
     goal = F.col("link")
