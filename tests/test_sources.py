@@ -80,6 +80,72 @@ def test_projection_and_time_pruning(spark, bag):
     assert some.count() == 2
 
 
+def test_filters_reach_the_source(bag):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull, LessThanOrEqual
+
+    reader = R.MessagesReader({"path": bag, "chunks_per_partition": "1"})
+    everything = len(reader.partitions())
+    left = list(reader.pushFilters([GreaterThan(("recv_time_ns",), START + 10**9), LessThanOrEqual(("recv_time_ns",), START + 10**10), EqualTo(("topic",), "/twist"), IsNotNull(("topic",))]))
+    assert left == [IsNotNull(("topic",))] and len(reader.partitions()) < everything
+    times = [log for p in reader.partitions() for _, log, *_ in reader.messages(p)]
+    assert times and min(times) == START + 10**9 + 10**7 and max(times) == START + 10**10
+
+
+def test_filters_on_frames(spark, bag):
+    df = R.open_recording(spark, bag)["/twist"].where(f"recv_time_ns >= {START + 10**7} and recv_time_ns < {START + 3 * 10**7}")
+    assert df.count() == 2
+    assert ">=" not in df._jdf.queryExecution().executedPlan().toString()  # the bounds aren't left to Spark
+
+
+def test_headers_of_all_topics_in_one_pass(spark, bag):
+    rec = R.open_recording(spark, bag)
+    m = rec.messages()
+    assert m.columns == ["topic", "recv_time_ns", "publish_time_ns", "seq"]
+    assert m._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    assert {r["topic"]: r["count"] for r in m.groupBy("topic").count().collect()} == {"/other": 30, "/twist": 121}
+    assert m.distinct().count() == 151
+    with pytest.raises(KeyError, match="no topics"):
+        rec.messages(["/nope"])
+
+
+def test_preload_reads_the_recording_once(spark, bag, monkeypatch):
+    rec = R.open_recording(spark, bag)
+    plain = {t: sorted(map(str, rec[t].collect())) for t in rec.topics}
+    asked = []
+    frame = R.Recording._frame
+    monkeypatch.setattr(R.Recording, "_frame", lambda self, topic, fields: asked.append(topic) or frame(self, topic, fields))
+    try:
+        rec.preload([*rec.topics, "/nope"])
+        assert not asked  # no topic was scanned on its own
+        assert {t: sorted(map(str, rec[t].collect())) for t in rec.topics} == plain
+        assert sorted(f.rpartition(".")[2] for f in os.listdir(os.path.join(bag, ".tideline_cache")) if "." in f) == ["json", "json"]
+    finally:
+        R.clear_cache(bag)
+
+
+def test_written_messages_come_back(spark, tmp_path):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from tideline.sources.writer import payload
+
+    R.register(spark)
+    df = spark.range(1000, numPartitions=3).select(
+        F.when(F.col("id") % 3 == 0, "/a").otherwise("/b").alias("topic"), (F.col("id") + START).alias("recv_time_ns"), F.col("id").alias("publish_time_ns"),
+        payload(n=("uint8", F.col("id") % 200), x=("float64", F.col("id") / 4), k=("int64", F.when(F.col("id") != 7, -F.col("id")))).alias("data"),
+    )
+    types = json.dumps(dict.fromkeys(["/a", "/b", "/none"], ["t/msg/N", "uint8 n\nfloat64 x\nint64 k"]))
+    for how in ("", "zstd"):
+        folder = str(tmp_path / f"rec{how}")
+        df.write.format("rosbag_messages").mode("append").option("types", types).option("compression", how).save(folder)
+        rec = R.open_recording(spark, folder, ["/a", "/none"])
+        assert rec["/a"].count() == 334 and rec["/none"].count() == 0 and rec["/none"].columns == rec["/a"].columns
+        rows = {r["publish_time_ns"]: r for r in rec["/b"].unionByName(rec["/a"]).collect()}
+        assert len(rows) == 1000 and all((r["n"], r["x"], r["k"]) == (i % 200, i / 4, -i if i != 7 else 0) for i, r in rows.items())
+        assert {r["topic"]: r["message_count"] for r in rec.catalog().collect()} == {"/a": 334, "/b": 666, "/none": 0}
+
+
 def test_cache_round_trip(spark, bag):
     rec = R.open_recording(spark, bag, ["/twist", "/nope"])
     try:

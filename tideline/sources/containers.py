@@ -10,10 +10,10 @@ import sqlite3
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from urllib.parse import urlparse
 
 import pyarrow as pa
-import pyarrow.fs
+
+from tideline.sources.stores import plain, store_of
 
 MAGIC = b"\x89MCAP0\r\n"
 HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK = 1, 2, 3, 4, 5, 6
@@ -78,20 +78,14 @@ class Summary:
     messages: int | None = None
 
 
-def open_file(path: str):
-    """A seekable binary file: local paths and ``file:`` by the system, other stores by Arrow's file systems."""
-    url = urlparse(path)
-    if url.scheme in ("", "file"):
-        return open(url.path if url.scheme else path, "rb")
-    store, inner = pyarrow.fs.FileSystem.from_uri(path)
+def open_file(path: str) -> pa.NativeFile:
+    """A seekable binary file: local ones are mapped into memory, so chunks that aren't compressed are never copied."""
+    store, inner, before = store_of(path)
+    if not before and store.get_file_info(inner).size:
+        return pa.memory_map(inner)
     return store.open_input_file(inner)
 
 
-def file_size(path: str) -> int:
-    with open_file(path) as f:
-        return f.seek(0, 2) or f.tell()
-
-
 def records(data: memoryview) -> Iterator[tuple[int, memoryview]]:
     """Opcode and body of each whole record."""
     at = 0
@@ -136,8 +130,7 @@ def read_summary(path: str) -> Summary:
     """Channels and chunks: from the summary section, or by walking the file if it has none or lists no chunks."""
     out, schemas = Summary(), {}
     with open_file(path) as f:
-        size = f.seek(0, 2) or f.tell()
-        f.seek(0)
+        size = f.size()
         if f.read(8) != MAGIC:
             raise ValueError(f"{path} is no MCAP file")
         start = 0
@@ -189,18 +182,19 @@ def unpacked(body: bytes | memoryview) -> memoryview:
     return memoryview(pa.Codec(how).decompress(data, size, asbytes=True)) if size else memoryview(b"")
 
 
-def mcap_messages(path: str, chunks: list[Chunk], channels: frozenset[int], start: int, end: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(channel, log time, publish time, place in the file, payload) of messages in ``start <= log time <= end``."""
+def mcap_messages(path: str, chunks: list[Chunk], channels: frozenset[int], start: int, end: int, payload: bool = True) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(channel, log time, publish time, place of the chunk, place in the chunk, payload) of messages in ``start <= log
+    time <= end``. Without ``payload`` only headers are read, and the payloads are empty."""
     with open_file(path) as f:
         for c in chunks:
             f.seek(c.offset)
-            data = memoryview(f.read(c.length))
+            data = memoryview(f.read_buffer(c.length))
             inner = unpacked(data[9:]) if data and data[0] == CHUNK else data
             for k, (op, body) in enumerate(records(inner)):
                 if op == MESSAGE:
                     channel, _, log, published = struct.unpack_from("<HIQQ", body)
                     if channel in channels and start <= log <= end:
-                        yield channel, log, published, (c.offset << 20) + k, bytes(body[22:])
+                        yield channel, log, published, c.offset, k, bytes(body[22:]) if payload else b""
 
 
 def sqlite_summary(path: str) -> Summary:
@@ -220,17 +214,17 @@ def sqlite_summary(path: str) -> Summary:
 def _sqlite(path: str):
     from contextlib import closing
 
-    url = urlparse(path)
-    return closing(sqlite3.connect(f"file:{url.path if url.scheme == 'file' else path}?mode=ro&immutable=1", uri=True))
+    return closing(sqlite3.connect(f"file:{plain(path)}?mode=ro&immutable=1", uri=True))
 
 
-def sqlite_messages(path: str, chunks: list[Chunk], channels: frozenset[int], start: int, end: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+def sqlite_messages(path: str, chunks: list[Chunk], channels: frozenset[int], start: int, end: int, payload: bool = True) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    data = "data" if payload else "x''"
     marks = ",".join("?" * len(channels))
     with _sqlite(path) as db:
         for c in chunks:
-            sql = f"SELECT topic_id, timestamp, id, data FROM messages WHERE id >= ? AND id < ? AND topic_id IN ({marks}) AND timestamp BETWEEN ? AND ? ORDER BY id"
-            for topic, ts, i, data in db.execute(sql, [c.offset, c.offset + c.length, *sorted(channels), start, end]):
-                yield topic, ts, ts, i << 20, bytes(data)
+            sql = f"SELECT topic_id, timestamp, id, {data} FROM messages WHERE id >= ? AND id < ? AND topic_id IN ({marks}) AND timestamp BETWEEN ? AND ? ORDER BY id"
+            for topic, ts, i, raw in db.execute(sql, [c.offset, c.offset + c.length, *sorted(channels), start, end]):
+                yield topic, ts, ts, i, 0, bytes(raw)
 
 
 def is_mcap(path: str) -> bool:
@@ -241,5 +235,5 @@ def summary_of(path: str) -> Summary:
     return read_summary(path) if is_mcap(path) else sqlite_summary(path)
 
 
-def messages_of(path: str, *args) -> Iterator[tuple[int, int, int, int, bytes]]:
+def messages_of(path: str, *args) -> Iterator[tuple[int, int, int, int, int, bytes]]:
     return (mcap_messages if is_mcap(path) else sqlite_messages)(path, *args)
