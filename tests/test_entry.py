@@ -7,7 +7,7 @@ import sys
 import pytest
 
 import __spark_entry__ as entry
-from tideline.plans import telemetry
+from tideline.plans import recordings, telemetry
 
 sys.path.insert(0, os.path.dirname(__file__))
 from oracle import assert_same  # noqa: E402
@@ -18,7 +18,7 @@ REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 def test_contract(spark):
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q) and set(telemetry.QUERIES) <= set(q)
+    assert set(o) <= set(q) and set(telemetry.QUERIES | recordings.QUERIES) <= set(q)
     df = entry.entry(spark)
     assert df.columns[0] == "event_type" and df.count() > 0
 
@@ -50,6 +50,11 @@ def test_query_equals_its_sql(spark, name):
     assert_same(spark, telemetry.QUERIES[name], telemetry.ORACLES[name], SF)
 
 
+@pytest.mark.parametrize("name", sorted(recordings.ORACLES))
+def test_recording_query_equals_its_sql(spark, name):
+    assert_same(spark, recordings.QUERIES[name], recordings.ORACLES[name], SF)
+
+
 def test_lowpass_runs(spark):
     assert telemetry.QUERIES["lowpass"](spark, SF).count() == 1000
 
