@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of texts in one Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -15,23 +19,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is one made here.
+    Where the session names none, one is made if everything runs in this machine (tests), else this is refused: on a
+    cluster each executor would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tideline-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The files go when :func:`forget` is told so, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, lengthened until it is none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`save` that nothing reads any more."""
     spark = df.sparkSession
@@ -41,6 +61,14 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to Python in Arrow batches of BATCH_BYTES at most (64 MB by default), as a batch is held
+    several times over by each worker. A session that asks for less is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def fold(doc_id: str | Column) -> Column:
     """crc32 of the id as text, modulo 4 (fold 2 is held out). A null id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -58,11 +86,12 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_chars: int) -> DataFrame:
-    """``(doc_id, text, label)`` of at most ``limit`` labelled documents outside fold 2, by hash order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """``(doc_id, text, label)`` of at most ``limit`` labelled documents outside fold 2, by hash order of their ids.
 
-    The limit bounds the label rows, so their broadcast is bounded; documents of over ``max_chars``
-    characters are no training rows. Rows whose label is null, and later rows of a repeated id, are ignored.
+    The limit bounds the label rows, so their broadcast is bounded, and the rows returned: of the texts of a repeated
+    id the one of the least hash is taken. Texts are whole, of any length. Null ids, texts and labels are ignored; of
+    the labels of a repeated id the largest counts.
     """
     few = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
@@ -70,5 +99,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         .groupBy("_id").agg(F.max("label").alias("label"))
         .orderBy(F.md5(F.col("_id").cast("string").cast("binary")), "_id").limit(limit)
     )
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    return rows.join(F.broadcast(few), rows.doc_id == few["_id"]).select("doc_id", "text", "label")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    rows = rows.join(F.broadcast(few), rows.doc_id == few["_id"])
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r")
+    return rows.groupBy("doc_id").agg(one).select("doc_id", "r.text", "r.label")

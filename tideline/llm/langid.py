@@ -16,11 +16,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fold, table
+from tideline.llm.common import fold, small_batches, table
 
-#: Documented bounds of the training sample: documents, and characters of each.
+#: Documented bound of the training sample: documents, whole texts.
 TRAIN_ROWS = 4000
-TRAIN_CHARS = 20_000
 BINS = 1 << 13
 #: Share of the total below which the two best languages are too close to call.
 MARGIN = 0.1
@@ -44,6 +43,18 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.sqrt(counts).astype(np.float32)
 
 
+def _sparse(x: np.ndarray) -> bytes:
+    """Places and values of what isn't zero."""
+    at = np.flatnonzero(x)
+    return at.astype("<u2").tobytes() + x[at].astype("<f4").tobytes()
+
+
+def _dense(packed: bytes) -> np.ndarray:
+    n, x = len(packed) // 6, np.zeros(BINS, np.float32)
+    x[np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, "<f4", n, 2 * n)
+    return x
+
+
 def codewords(n: int, seed: int = 3) -> np.ndarray:
     """A row of +1/-1 for each language: the exhaustive code up to 6, else random columns of the best of 50 draws
     by the least distance between two rows."""
@@ -85,20 +96,31 @@ class CodeModel:
         return pd.DataFrame({"lang_pred": names, "score": scores, "ambiguous": close})
 
 
-def train(docs: DataFrame, limit: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS, steps: int = 120) -> CodeModel:
-    """Learn from text and non-null lang of a bounded sample outside fold 2: the first ``limit`` distinct rows by hash."""
-    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars) & (fold("doc_id") != 2))
+def train(docs: DataFrame, limit: int = TRAIN_ROWS, steps: int = 120) -> CodeModel:
+    """Learn from text and non-null lang of a bounded sample outside fold 2: the first ``limit`` distinct rows by hash.
+
+    Texts are read whole, and in the tasks: the driver gets the n-grams of ``limit`` rows at most. Texts without a
+    letter teach nothing.
+    """
+
+    @F.pandas_udf("binary")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([_sparse(ngrams(t)) if _LETTER.search(t) else None for t in texts], dtype=object)
+
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 2))
     rows = rows.withColumn("_k", F.xxhash64("doc_id", "text", "lang"))
     few = rows.select("_k").distinct().orderBy("_k").limit(limit)
-    rows = rows.join(F.broadcast(few), "_k").dropDuplicates(["_k"]).select("doc_id", "text", "lang").toPandas()  # broadcast: at most `limit` hashes
-    rows = rows[[bool(_LETTER.search(t)) for t in rows["text"]]] if len(rows) else rows
-    rows = rows.sort_values(["doc_id", "lang", "text"])
+    rows = rows.join(F.broadcast(few), "_k").dropDuplicates(["_k"])  # broadcast: at most `limit` hashes
+    rows = rows.select("_k", "lang", counted("text").alias("x")).where(F.col("x").isNotNull()).toPandas()
+    rows = rows.sort_values("_k")
     languages = sorted(set(rows["lang"]))
     codes = codewords(len(languages))
     if not languages:
         return CodeModel([], codes, np.zeros((BINS + 1, 1), np.float32), np.ones(1))
-    x = np.stack([ngrams(t) for t in rows["text"]])
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    x = np.ones((len(rows), BINS + 1), np.float32)
+    for row, packed in zip(x, rows["x"], strict=True):
+        row[:BINS] = _dense(packed)
     y = codes[[languages.index(v) for v in rows["lang"]]].astype(np.float32)
     # Rows of frequent languages weigh less, so each language weighs the same.
     counts = rows["lang"].value_counts()

@@ -18,11 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fold, labelled_sample, save, table
+from tideline.llm.common import fold, forget, labelled_sample, save, small_batches, table
 
-#: Documented bounds of the labelled sample: documents, and characters of each.
+#: Documented bound of the labelled sample: documents, whole texts.
 TRAIN_ROWS = 20_000
-TRAIN_CHARS = 20_000
 N_FEATURES = 160
 RIDGE = 1e-2
 #: One of so many sample rows calibrates instead of fitting.
@@ -114,14 +113,15 @@ def normal_equations(rows: DataFrame, model: QualityModel) -> tuple[np.ndarray,
     return full[:, :d], full[:, d]
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS, seed: int = 7) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, seed: int = 7) -> QualityModel:
     """Fit on a bounded labelled sample outside fold 2. Without labels every score is 1 (nothing is rejected)."""
 
     @F.pandas_udf("array<double>")
     def stats(texts: pd.Series) -> pd.Series:
         return pd.Series(list(_matrix(texts)))
 
-    sample = labelled_sample(docs, labels, "quality", limit, max_chars)
+    small_batches(docs.sparkSession)
+    sample = labelled_sample(docs, labels, "quality", limit)
     part = F.conv(F.substring(F.md5(F.concat(F.lit("c"), F.col("doc_id").cast("string")).cast("binary")), 1, 4), 16, 10).cast("int") % CALIBRATE
     rows = save(sample.select("doc_id", stats("text").alias("stats"), F.col("label").cast("double").alias("label"), part.alias("part")), "quality-sample")
     width = len(STATISTICS)
@@ -130,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, max_chars
     frequencies, phases = rng.normal(0, 0.35, (width, N_FEATURES)), rng.uniform(0, 2 * np.pi, N_FEATURES)
     one = np.zeros(N_FEATURES + 1)
     if not moments["n"]:
+        forget(rows)
         return QualityModel(np.zeros(width), np.ones(width), frequencies, phases, one, (np.array([0.0]), np.array([1.0])))
     centre = np.array([moments[f"m{i}"] for i in range(width)])
     scale = np.array([moments[f"s{i}"] for i in range(width)])
@@ -137,6 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, max_chars
     a, b = normal_equations(rows.where("part > 0"), model)
     model.weights = np.linalg.solve(a + RIDGE * np.eye(len(a)), b)
     held = rows.where("part = 0").toPandas().sort_values("doc_id")
+    forget(rows)
     if len(held):
         model.knots = isotonic(model.raw(np.stack(held["stats"].to_numpy())), held["label"].to_numpy(float))
     else:

@@ -17,11 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import forget, labelled_sample, save, table
+from tideline.llm.common import forget, labelled_sample, save, small_batches, table
 
-#: Documented bounds of the training sample: labelled documents, and characters of each.
+#: Documented bound of the training sample: labelled documents, whole texts.
 TRAIN_ROWS = 12_000
-TRAIN_CHARS = 20_000
 GRADES = 4
 #: A feature in fewer training documents than MIN_DOCS, or in more than this share of the distinct clean ones, has
 #: no weight. Equal texts count MIN_DOCS times at most, so copies have weights of their own but don't crowd out others.
@@ -129,9 +128,10 @@ def severity(rows: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.n
     return np.where(toxic > 0, 1 + (hits >= 2) + (hits >= 4), 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, max_chars: int = TRAIN_CHARS) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> OrdinalModel:
     """Fit on a bounded labelled sample. Without both toxic and clean labels nothing is ever toxic."""
-    rows = labelled_sample(docs, labels, "toxic", limit, max_chars)
+    small_batches(docs.sparkSession)
+    rows = labelled_sample(docs, labels, "toxic", limit)
     sample = save(rows.groupBy("text").agg(F.avg((F.col("label") > 0).cast("int")).alias("share"), F.count("*").alias("times")), "toxic")
     rows = sample.select(F.md5(F.col("text").cast("binary")).alias("key"), "share", "times", _hashes("text").alias("found")).toPandas().sort_values("key")
     toxic = (rows["share"].to_numpy() >= 0.5).astype(int)  # the label of most copies
