@@ -1,4 +1,4 @@
-"""A deterministic tokenization automaton, compiled from BPE merges one gadget at a time.
+"""A deterministic tokenization automaton, compiled from BPE merges one gadget at a time, and its byte transitions.
 
 Before any merge the automaton has one state and an arc for every byte. Merge ``u v -> w`` composes it
 with a gadget. For ``u != v`` the gadget gives every state that has an arc ``u`` an arc ``w`` to where
@@ -8,21 +8,31 @@ an odd rest, and the state behind ``u`` loses ``u``. So the state after a path d
 alone, and the accepted paths are exactly the outputs of BPE.
 
 A gadget changes a row (the arcs of one state) or a column (one label at every state) of the arc table.
-Copying 50,000 rows of 50,000 arcs is no option, so the table is kept as a persistent one: ``row_of[w]``
-and ``col_of[w]`` name the row and column that ``w`` copied, ``born[w]`` says when, and ``cut`` holds the
-arcs taken away with their time. :meth:`Automaton.arc` reads one entry by following those copies back, and
-remembers it.
+50,000 rows of 50,000 arcs don't fit into a worker, so the table is kept in copy-on-write form, in arrays: the row
+and the column that each gadget copied, when it did, and the arcs that it cut. Arcs are read for many (state, label)
+at once.
+
+To read bytes the arcs are spelled out: a table ``(node, byte) -> node`` over the spellings of all labels, with
+failure links as in Aho and Corasick, and for each node the labels that end there, longest first. Every prefix of a
+word has one accepted path, so exactly one of the labels that end at a place continues the path accepted at its
+start: a word is encoded in one pass over its bytes, without search or backtracking, and the path is read off from
+its end. Nodes whose spelling is the word so far have that label compiled in. Words are encoded many at a time, a
+byte of each at a step.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
 import regex
 
 #: GPT-2's published pre-split pattern, with white space spelled out; fixed values.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+#: Bytes of a word up to which it is encoded beside others, words of one such step, and characters of a run of text.
+WIDE, WORDS, RUN = 64, 1 << 15, 1 << 21
 
 
 def byte_letters() -> dict[str, int]:
@@ -32,112 +42,236 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Lookup:
+    """A fixed map of int64 >= 0 to int32 in arrays (open addressing, at most a quarter full), read for many keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, todo = self._home(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            self.keys[at[free]] = keys[free]  # of several on one place the last stays
+            self.values[at[free]] = values[free]
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
+        at = self._home(keys)
+        found = self.keys[at]
+        out = np.where(found == keys, self.values[at], np.int32(default))
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found = self.keys[at[left]]
+            hit = found == keys[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+        return out
+
+
 class Automaton:
     """Arcs are token ids; ``label[i]`` holds the bytes that arc ``i`` emits when decoding."""
 
     def __init__(self, byte_ids: list[int], merges: list[tuple[int, int, int]], label: dict[int, bytes]):
         self.label = label
-        self.byte_ids = byte_ids
-        self.born: dict[int, int] = dict.fromkeys(byte_ids, 0)
-        self.row_of: dict[int, int] = {}
-        self.col_of: dict[int, int] = {}
-        self.cut: dict[tuple[int, int], int] = {}
-        self.doubled: set[int] = set()
-        self.unused: set[int] = set()
-        self._arcs: dict[int, bool] = {}
+        n = 1 + max([*byte_ids, *(w for _, _, w in merges)], default=0)
+        self.width = np.int64(n)
+        self.born, self.row_of, self.col_of = np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.doubled = np.zeros(n, bool)
+        self.born[byte_ids] = 0
+        born = dict.fromkeys(byte_ids, 0)
         for time, (u, v, w) in enumerate(merges, 1):
-            self._gadget(time, u, v, w)
-        self._index()
-
-    def _gadget(self, time: int, u: int, v: int, w: int) -> None:
-        if u not in self.born or v not in self.born or w in self.born or (u, v) in self.cut:
-            raise ValueError(f"merge {time} doesn't build on earlier ones")
-        self.cut[u, v] = time
-        self.born[w], self.row_of[w], self.col_of[w] = time, v, u
-        if u == v:
-            self.doubled.add(w)
-        if not self._arc(u, v, time):
-            self.unused.add(w)  # no path reads u, v here, so the gadget adds no arc
-
-    def _index(self) -> None:
-        """Byte transitions over the labels: ``step[state << 8 | byte]`` and the arc that ends in a state."""
-        self.step: dict[int, int] = {}
-        self.ends: list[int] = [-1]
-        for i in self.born:
-            if i not in self.unused:
-                state = 0
-                for byte in self.label[i]:
-                    state = self.step.setdefault(state << 8 | byte, len(self.ends))
-                    if state == len(self.ends):
-                        self.ends.append(-1)
-                self.ends[state] = i
-
-    def _arc(self, x: int, y: int, time: int) -> bool:
-        """Does the state behind ``x`` have the arc ``y`` once the gadgets before ``time`` are in?"""
-        while True:
-            if self.cut.get((x, y), time) < time:
-                return False
+            if u not in born or v not in born or w in born:
+                raise ValueError(f"merge {time} doesn't build on earlier ones")
+            born[w] = time
+        u, v, w = (np.array(x, np.int64) for x in (zip(*merges, strict=True) if merges else ([], [], [])))
+        if len(np.unique(u * n + v)) < len(u):
+            raise ValueError("a pair is merged twice")
+        time = np.arange(1, len(w) + 1, dtype=np.int32)
+        self.born[w], self.row_of[w], self.col_of[w], self.doubled[w] = time, v, u, u == v
+        self.cut = Lookup(u * n + v, time)
+        # A gadget for u v adds no arc if no path reads u, v by then.
+        self.used = np.zeros(n, bool)
+        self.used[byte_ids] = True
+        self.used[w] = self.arcs(u, v, time)
+        self._spell()
+
+    def arcs(self, x: np.ndarray, y: np.ndarray, time: np.ndarray | None = None) -> np.ndarray:
+        """Do the states behind ``x`` have the arcs ``y`` (once the gadgets before ``time`` are in)?"""
+        out = np.zeros(len(x), bool)
+        x, y, at = x.astype(np.int64), y.astype(np.int64), np.arange(len(x))
+        time = np.full(len(x), np.iinfo(np.int32).max, np.int32) if time is None else time.astype(np.int32)
+        while len(at):
+            stays = self.cut.get(x * self.width + y, np.iinfo(np.int32).max) >= time
+            x, y, time, at = x[stays], y[stays], time[stays], at[stays]
             bx, by = self.born[x], self.born[y]
-            if bx == by == 0:
-                return True
-            if x == y and x in self.doubled:  # the run u u u u is w w
-                return True
-            if bx >= by:
-                if x in self.doubled and y == self.row_of[x]:  # one u may be left behind w = u u
-                    return True
-                x, time = self.row_of[x], bx
-            else:
-                if y in self.doubled and x == self.col_of[y]:  # u before u u would have paired first
-                    return False
-                y, time = self.col_of[y], by
+            dx, dy = self.doubled[x], self.doubled[y]
+            row, col = self.row_of[x], self.col_of[y]
+            newer = bx >= by
+            # Two bytes; the run u u u u, which is w w; one u that may be left behind w = u u.
+            yes = (bx == 0) & (by == 0) | (x == y) & dx | newer & dx & (y == row)
+            out[at[yes]] = True
+            go = ~yes & (newer | ~dy | (x != col))  # u before u u would have paired first
+            x, y, time, at = np.where(newer, row, x)[go], np.where(newer, y, col)[go], np.where(newer, bx, by)[go], at[go]
+        return out
 
     def arc(self, x: int, y: int) -> bool:
-        known = self._arcs.get(x << 20 | y)
-        if known is None:
-            if len(self._arcs) > 1_000_000:
-                self._arcs.clear()
-            known = self._arcs[x << 20 | y] = self._arc(x, y, 1 << 60)
-        return known
+        return bool(self.arcs(np.array([x]), np.array([y]))[0])
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """The one accepted path that emits ``word``.
-
-        From each place the arcs that fit the next bytes are tried, longest first. A prefix has only one
-        accepted path, so a place from which no arc leads on is never tried again.
-        """
-        step, ends, arcs, n = self.step.get, self.ends, self._arcs.get, len(word)
-        path: list[int] = []
-        places = [0]
-        dead: set[int] = set()
-        while places[-1] < n:
-            at = i = places[-1]
-            fits, state = [], step(word[i])
-            while state is not None:
-                i += 1
-                if ends[state] >= 0 and i not in dead:
-                    fits.append((i, ends[state]))
-                if i == n:
+    def _spell(self) -> None:
+        """Nodes are spellings of prefixes of labels, 0 the empty one, numbered by length."""
+        tokens = np.flatnonzero(self.used & (self.born >= 0))
+        size = np.zeros(len(self.born), np.int32)
+        size[tokens] = [len(self.label[int(t)]) for t in tokens]
+        node = np.zeros(len(self.born), np.int64)
+        parents, by_byte, depth, ends = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], [np.zeros(1, np.int32)], [np.full(1, -1, np.int32)]
+        total, longer, at = 1, tokens, 0
+        while len(longer):
+            step = node[longer] << 8 | np.array([self.label[int(t)][at] for t in longer], np.int64)
+            new, which = np.unique(step, return_inverse=True)
+            node[longer] = total + which
+            at += 1
+            done = size[longer] == at
+            end = np.full(len(new), -1, np.int32)
+            end[which[done]] = longer[done]
+            parents.append(new >> 8), by_byte.append(new & 255), depth.append(np.full(len(new), at, np.int32)), ends.append(end)
+            total, longer = total + len(new), longer[~done]
+        parent, byte, depth, end = (np.concatenate(x) for x in (parents, by_byte, depth, ends))
+        self.size, self.depth = size, depth
+        self.goto = Lookup(parent[1:] << 8 | byte[1:], np.arange(1, total, dtype=np.int32))
+        self.fail, self.last, self.ends = np.zeros(total, np.int32), np.full(total, -1, np.int32), end.copy()
+        self.shorter = np.full(len(self.born), -1, np.int32)  # the next shorter label that ends a label
+        for d in range(2, int(depth.max()) + 1):
+            own = np.flatnonzero(depth == d)
+            self.fail[own] = self._step(self.fail[parent[own]], byte[own])
+        for d in range(1, int(depth.max()) + 1):
+            own = np.flatnonzero(depth == d)
+            behind = self.ends[self.fail[own]]
+            self.shorter[end[own[end[own] >= 0]]] = behind[end[own] >= 0]
+            self.ends[own] = np.where(end[own] >= 0, end[own], behind)
+        # The last label of the path that emits a node's own spelling: that of the word so far, at the word's start.
+        place = np.zeros((int(depth.max()) + 1, total), np.int32)  # the node of each length of a node's spelling
+        for d in range(1, int(depth.max()) + 1):
+            own = np.flatnonzero(depth == d)
+            place[:, own] = place[:, parent[own]]
+            place[d, own] = own
+            self.last[own] = self._continued(self.ends[own], np.full(len(own), d), lambda k, start, place=place, own=own: self.last[place[start, own[k]]])
+
+    def _step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The longest spelling that ends with each node's and the byte."""
+        out = self.goto.get(node.astype(np.int64) << 8 | byte, -1)
+        left = np.flatnonzero(out < 0)
+        while len(left):
+            node = node if len(node) == len(left) else node[left]
+            byte = byte if len(byte) == len(left) else byte[left]
+            at_root = node == 0
+            out[left[at_root]] = 0
+            left, node, byte = left[~at_root], self.fail[node[~at_root]], byte[~at_root]
+            found = self.goto.get(node.astype(np.int64) << 8 | byte, -1)
+            out[left] = found
+            keep = found < 0
+            left, node, byte = left[keep], node[keep], byte[keep]
+        return out
+
+    def _continued(self, token: np.ndarray, at: np.ndarray, last) -> np.ndarray:
+        """The one label, of ``token`` and the shorter ones that end it, that continues the path accepted at its start.
+        ``last(k, start)`` gives the last labels of these paths for the words ``k``."""
+        out, left = np.full(len(token), -1, np.int32), np.arange(len(token))
+        while len(left):
+            if (token < 0).any():
+                raise ValueError("no path emits the word")
+            start = at[left] - self.size[token]
+            fits = start == 0
+            inner = np.flatnonzero(~fits)
+            fits[inner] = self.arcs(last(left[inner], start[inner]), token[inner])
+            out[left[fits]] = token[fits]
+            left, token = left[~fits], self.shorter[token[~fits]]
+        return out
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids by word) of the accepted paths that emit the words, in order."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        count, parts = np.zeros(len(words), np.int64), []
+        long = int((size > WIDE).sum())
+        groups = [order[i : i + 1] for i in range(long)] + [order[i : i + WORDS] for i in range(long, len(words), WORDS)]
+        for group in groups:
+            ids, n = self._long(words[group[0]]) if size[group[0]] > WIDE else self._group([words[i] for i in group], size[group])
+            count[group] = n
+            parts.append(ids)
+        # From the order by size back to that of the words.
+        ids, begin = np.concatenate([*parts, np.empty(0, np.int32)]), np.zeros(len(words), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(ids))
+        return ids[at], count
+
+    def _group(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words in falling order of size, a byte of each at a time."""
+        raw, begin = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(size) - size
+        longest = int(size[0])
+        active = np.searchsorted(-size, -np.arange(longest), side="left")  # words of more bytes than each step
+        last = np.zeros((longest + 1, len(words)), np.int32)
+        node = np.zeros(len(words), np.int32)
+        for i in range(longest):
+            k = active[i]
+            node = self._step(node[:k], raw[begin[:k] + i])
+            whole = self.depth[node] == i + 1
+            last[i + 1, :k] = np.where(whole, self.last[node], -1)
+            rest = np.flatnonzero(~whole)
+            last[i + 1, rest] = self._continued(self.ends[node[rest]], np.full(len(rest), i + 1), lambda w, start, rest=rest: last[start, rest[w]])
+        at, own, steps = size.copy(), np.flatnonzero(size), []
+        while len(own):
+            token = last[at[own], own]
+            steps.append((own, token))
+            at[own] -= self.size[token]
+            own = own[at[own] > 0]
+        count = np.bincount(np.concatenate([s[0] for s in steps]), minlength=len(words)) if steps else np.zeros(len(words), np.int64)
+        ids, end = np.empty(int(count.sum()), np.int32), np.cumsum(count) - 1
+        for back, (own, token) in enumerate(steps):
+            ids[end[own] - back] = token
+        return ids, count
+
+    def _long(self, word: bytes) -> tuple[np.ndarray, int]:
+        """The same pass over one long word; what it reads of the tables is remembered for this word only."""
+        goto: dict[int, int] = {}
+        known: dict[tuple[int, int], bool] = {}
+        last, node = np.zeros(len(word) + 1, np.int32), 0
+        size, shorter = self.size, self.shorter
+        for i, byte in enumerate(word, 1):
+            key = node << 8 | byte
+            to = goto.get(key)
+            if to is None:
+                to = goto[key] = int(self._step(np.array([node]), np.array([byte], np.int64))[0])
+            node = to
+            token = int(self.ends[node])
+            while True:
+                if token < 0:
+                    raise ValueError("no path emits the word")
+                start = i - int(size[token])
+                if not start:
                     break
-                state = step(state << 8 | word[i])
-            while fits:
-                end, token = fits.pop()
-                if path:
-                    key = path[-1] << 20 | token
-                    known = arcs(key)
-                    if known is None:
-                        known = self.arc(path[-1], token)
-                    if not known:
-                        continue
-                path.append(token)
-                places.append(end)
-                break
-            else:
-                dead.add(at)
-                if not path:
-                    raise ValueError(f"no path emits {word!r}")
-                path.pop()
-                places.pop()
-        return path
+                pair = int(last[start]), token
+                fits = known.get(pair)
+                if fits is None:
+                    fits = known[pair] = self.arc(*pair)
+                if fits:
+                    break
+                token = int(shorter[token])
+            last[i] = token
+        path, at = [], len(word)
+        while at:
+            path.append(last[at])
+            at -= int(size[last[at]])
+        return np.array(path[::-1], np.int32), len(path)
+
+    def encode_word(self, word: bytes) -> list[int]:
+        """The one accepted path that emits ``word``."""
+        return self.encode_words([word])[0].tolist()
 
 
 def load(path: str) -> tuple[Automaton, dict[str, int]]:
@@ -152,83 +286,150 @@ def load(path: str) -> tuple[Automaton, dict[str, int]]:
     added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     return Automaton(byte_ids, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], label), added
 
+
 #: Two white-space characters of ASCII in a row, one of them a blank.
 _PAIRS = [p for c in " \t\n\x0b\x0c\r" for p in {" " + c, c + " "}]
 
 
 class Codec:
-    """Whole texts to ids and back. Words are remembered, up to ``keep`` of them, so memory is bounded."""
+    """Whole texts to ids and back. Texts are read in runs of bounded size, and nothing is remembered beyond a run,
+    so memory doesn't grow with the texts read. Each distinct part of a run is encoded once."""
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str):
         self.automaton, self.added = load(path)
         self.labels = self.automaton.label | {i: s.encode() for s, i in self.added.items()}
-        self.names = {i: str(i) for i in self.labels}
-        self.keep = keep
+        n = 1 + max(self.labels)
+        self.names, self.emits = np.empty(n, object), np.empty(n, object)
+        for i, label in self.labels.items():
+            self.names[i], self.emits[i] = str(i), label
         self.pieces = regex.compile(PIECES)
         self.unusual = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.safe = regex.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._ids: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
-        self._words: dict[str, list[int]] = {}
-
-    def _word(self, piece: str) -> list[int]:
-        known = self._words.get(piece)
-        if known is None:
-            known = self.automaton.encode_word(piece.encode())
-            if len(piece) <= 32:
-                if len(self._words) >= self.keep // 4:
-                    self._words.clear()
-                self._words[piece] = known
-        return known
-
-    def _found(self, chunk: str) -> tuple[tuple[int, ...], str, bytes]:
-        """Ids, ids as text and the labels emitted for them, of a run that no piece crosses."""
-        if chunk[1:].isalpha() and chunk[0] == " ":  # the commonest piece
-            ids = self.automaton.encode_word(chunk.encode())
-        else:
-            ids = [i for piece in self.pieces.findall(chunk) for i in self._word(piece)]
-        return tuple(ids), ",".join(map(self.names.__getitem__, ids)), b"".join(map(self.labels.__getitem__, ids))
-
-    def _after_blank(self, part: str) -> tuple[tuple[int, ...], str, bytes]:
-        found = self._found(" " + part)
-        if len(part) <= 64:
-            if len(self._ids) >= self.keep:
-                self._ids.clear()
-            self._ids[part] = found
-        return found
-
-    def _parts(self, text: str) -> list[str]:
+
+    def _cut(self, text: str) -> list[str]:
         """Cut at single blanks between other characters: a piece begins at each, wherever it stands."""
         if any(pair in text for pair in _PAIRS) or not text.isascii() and self.unusual.search(text):
             return self.safe.split(text)
         return text.split(" ")
 
-    def parts(self, text: str | None):
-        """(ids, ids as text, emitted bytes) by run, in order."""
+    def _parts(self, text: str | None) -> list[str]:
+        """The parts that no piece crosses. The first of a segment is marked by a line feed, which no part behind a
+        blank begins with; an added token by two."""
         if not text:
-            return
-        known = self._ids.get
-        segments = [text]
-        if self.special is not None and any(s in text for s in self.added):
-            segments = self.special.split(text)
-        for k, segment in enumerate(segments):
+            return []
+        if self.special is None or not any(s in text for s in self.added):
+            parts = self._cut(text)
+            parts[0] = "\n" + parts[0]
+            return parts
+        out = []
+        for k, segment in enumerate(self.special.split(text)):
             if k % 2:
-                i = self.added[segment]
-                yield (i,), str(i), self.labels[i]
+                out.append("\n\n" + segment)
             elif segment:
-                parts = iter(self._parts(segment))
-                first = next(parts)
-                if first:
-                    yield self._found(first)
-                for part in parts:
-                    yield known(part) or self._after_blank(part)
+                parts = self._cut(segment)
+                parts[0] = "\n" + parts[0]
+                out += parts
+        return out
+
+    def runs(self, texts) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+        """(``(text number, from, to)`` in the run's parts, the number of each part's distinct part, (ids of all
+        distinct parts, number of ids by distinct part)). A long text goes on in the next run."""
+        held, spans, size = [], [], 0
+        for k, text in enumerate(texts):
+            parts = self._parts(text)
+            begin = 0
+            while begin < len(parts):
+                # As many parts as reach RUN characters; mostly the whole text.
+                end = len(parts)
+                if size + len(text) > RUN:
+                    end, room = begin, RUN - size
+                    while end < len(parts) and room > 0:
+                        room -= len(parts[end]) + 1
+                        end += 1
+                chosen = parts if end - begin == len(parts) else parts[begin:end]
+                spans.append((k, len(held), len(held) + len(chosen)))
+                held += chosen
+                size += sum(map(len, chosen)) if chosen is not parts else len(text)
+                begin = end
+                if size >= RUN:
+                    yield spans, *self._encoded(held)
+                    held, spans, size = [], [], 0
+        if held:
+            yield spans, *self._encoded(held)
+
+    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        number: dict[str, int] = {}
+        codes = np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int64, len(parts))
+        piece: dict[str, int] = {}
+        flat: list[int] = []
+        sizes = np.empty(len(number), np.int64)
+        name = lambda p: piece.setdefault(p, len(piece))
+        for i, part in enumerate(number):
+            if part.isalpha():
+                flat.append(name(" " + part))
+                sizes[i] = 1
+            elif part[:2] == "\n\n" and part[2:] in self.added:  # a text that begins with a line feed is marked by one more
+                flat.append(~self.added[part[2:]])
+                sizes[i] = 1
+            else:
+                found = self.pieces.findall(part[1:] if part[:1] == "\n" else " " + part)
+                flat.extend(map(name, found))
+                sizes[i] = len(found)
+        ids, count = self.automaton.encode_words([p.encode() for p in piece])
+        begin = np.cumsum(count) - count
+        flat_ = np.array(flat, np.int64)
+        token = flat_ < 0
+        # Added tokens stand behind the pieces' ids.
+        extra, where = np.unique(~flat_[token], return_inverse=True)
+        begin, count, ids = np.concatenate([begin, len(ids) + np.arange(len(extra))]), np.concatenate([count, np.ones(len(extra), np.int64)]), np.concatenate([ids, extra.astype(np.int32)])
+        flat_[token] = len(piece) + where
+        n = count[flat_]
+        at = np.repeat(begin[flat_] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        of_part = np.zeros(len(number) + 1, np.int64)
+        np.cumsum(sizes, out=of_part[1:])
+        ends = np.concatenate([[0], np.cumsum(n)])[of_part]
+        return codes, (ids[at], np.diff(ends))
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.parts(text) for i in ids]
+        out: list[int] = []
+        for _, codes, (ids, count) in self.runs([text]):
+            begin, n = np.cumsum(count) - count, count[codes]
+            out += ids[np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tolist()
+        return out
+
+    def encode_all(self, texts) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
+        for spans, codes, (ids, count) in self.runs(texts):
+            begin, n = np.cumsum(count) - count, count[codes]
+            before = np.concatenate([[0], np.cumsum(n)])
+            every = ids[np.repeat(begin[codes] - before[:-1], n) + np.arange(int(before[-1]))]
+            for k, a, b in spans:
+                out[k].append(every[before[a] : before[b]])
+        return [x[0] if len(x) == 1 else np.concatenate([*x, np.empty(0, np.int32)]) for x in out]
+
+    def counts(self, texts) -> np.ndarray:
+        """The number of ids of each text, without keeping them."""
+        out = np.zeros(len(texts), np.int64)
+        for spans, codes, (_, count) in self.runs(texts):
+            before = np.concatenate([[0], np.cumsum(count[codes])])
+            k, a, b = np.array(spans, np.int64).T
+            np.add.at(out, k, before[b] - before[a])
+        return out
 
-    def count(self, text: str | None) -> int:
-        return sum(len(p[0]) for p in self.parts(text))
+    def written(self, texts) -> Iterator[tuple[int, int, str, bytes]]:
+        """(text number, number of ids, ids as text, emitted bytes) by run of parts, in order."""
+        for spans, codes, (ids, count) in self.runs(texts):
+            ends = np.cumsum(count).tolist()
+            begins, names, emits = [0, *ends], self.names[ids].tolist(), self.emits[ids].tolist()
+            strings = np.array([",".join(names[a:b]) for a, b in zip(begins, ends, strict=False)], object)
+            labels = np.array([b"".join(emits[a:b]) for a, b in zip(begins, ends, strict=False)], object)
+            before = np.concatenate([[0], np.cumsum(count[codes])]).tolist()
+            strings, labels = strings[codes].tolist(), labels[codes].tolist()
+            for k, a, b in spans:
+                yield k, before[b] - before[a], ",".join(filter(None, strings[a:b])), b"".join(labels[a:b])
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """Emit the label of each arc; bytes that are no UTF-8 become U+FFFD, unknown ids emit nothing."""
-        return b"".join(self.labels.get(i, b"") for i in ids).decode("utf-8", "replace")
+        return b"".join([self.labels.get(i, b"") for i in ids]).decode("utf-8", "replace")

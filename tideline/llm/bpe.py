@@ -9,20 +9,21 @@ from __future__ import annotations
 import functools
 import hashlib
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.automaton import Codec
-from tideline.llm.common import table
+from tideline.llm.common import small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
-    """One compiled automaton for each Python worker."""
+    """The compiled automaton of a Python worker: tables of fixed size (about 40 MB), whatever it has read."""
     return Codec(path)
 
 
@@ -31,7 +32,7 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(codec(path).encode)
+        return pd.Series(codec(path).encode_all(texts.to_numpy()), dtype=object)
 
     return encode(text)
 
@@ -52,27 +53,33 @@ def token_count(text: Column, path: str) -> Column:
 
     @F.pandas_udf("bigint")
     def count(texts: pd.Series) -> pd.Series:
-        return texts.map(codec(path).count).astype("int64")
+        return pd.Series(codec(path).counts(texts.to_numpy()))
 
     return count(text)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, encoded and decoded in one pass."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every whole text, encoded and decoded in one pass.
+
+    The hashes take a long text run by run, so neither its ids nor what they emit is ever held whole.
+    """
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digest(texts: pd.Series) -> pd.DataFrame:
-        c, rows = codec(path), []
-        for text in texts:
-            ids, strings, emitted = tuple(zip(*c.parts(text), strict=True)) or ((), (), ())
-            out = b"".join(emitted)
+        n = np.zeros(len(texts), np.int64)
+        hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in range(len(texts))]
+        for k, more, ids, emitted in codec(path).written(texts.to_numpy()):
+            of_ids, of_text = hashes[k]
+            of_ids.update(("," + ids if n[k] and ids else ids).encode())
             try:
-                out.decode()
+                emitted.decode()
             except UnicodeDecodeError:
-                out = out.decode("utf-8", "replace").encode()
-            rows.append((sum(map(len, ids)), hashlib.sha256(",".join(strings).encode()).hexdigest(), hashlib.sha256(out).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                emitted = emitted.decode("utf-8", "replace").encode()
+            of_text.update(emitted)
+            n[k] += more
+        return pd.DataFrame({"n_tokens": n, "ids_sha256": [a.hexdigest() for a, _ in hashes], "decoded_sha256": [b.hexdigest() for _, b in hashes]})
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", digest("text").alias("_d")).select("doc_id", "_d.*")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import TOKENIZER, token_count
-from tideline.llm.common import save, table
+from tideline.llm.common import save, small_batches, table
 
 #: Lengths of one stretch of the histogram; its suffix sums need one task a stretch.
 STRETCH = 256
@@ -20,6 +20,7 @@ STRETCH = 256
 
 def length_histogram(docs: DataFrame, path: str) -> DataFrame:
     """``n_tokens, n_docs``, one row a distinct encoded length."""
+    small_batches(docs.sparkSession)
     return docs.select(token_count(F.col("text"), path).alias("n_tokens")).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -53,10 +54,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
     """One row ``truncated_total``: tokens kept at any context limit, from the first length at or over it."""
-    over = sums.where(F.col("n_tokens") >= limit)
-    first = over.agg(F.min(F.struct("n_tokens", "docs_at_least", "tokens_at_least", "tokens_total")).alias("f"))
-    none = sums.agg(F.max("tokens_total").alias("all"))
-    return first.crossJoin(none).select(
+    at = F.min(F.when(F.col("n_tokens") >= limit, F.struct("n_tokens", "docs_at_least", "tokens_at_least", "tokens_total"))).alias("f")
+    return sums.agg(at, F.max("tokens_total").alias("all")).select(
         F.coalesce(F.col("f.tokens_total") - F.col("f.tokens_at_least") + F.col("f.docs_at_least") * limit, F.col("all"), F.lit(0)).alias("truncated_total")
     )
 
