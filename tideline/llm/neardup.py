@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import forget, save, table
+from tideline.llm.common import forget, fresh, save, small_batches, table
 from tideline.llm.components import connected_components
 
 #: Registers, rows of a band, base, rate: at similarity 0.85 all 24 bands fail with 8e-7.
@@ -48,8 +48,8 @@ SLACK = 0.15
 
 #: Bits of the bitmap that keeps texts of other documents out of the shuffle (1 MB of bits, 2 MB in the driver).
 WANTED_BITS = 1 << 23
-#: Nodes of a bucket whose pairs may become rows, and side of a cell of larger ones.
-SMALL, BLOCK = 32, 512
+#: Nodes of a bucket whose pairs may become rows; side of a cell of larger ones, in nodes and in shingles.
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 19
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _RNG = np.random.default_rng(20)
@@ -59,12 +59,14 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class _Hashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+    """64-bit hashes of words, remembered up to a bound of their number and of each one's length (about 15 MB)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 32:
+            if len(self) >= 100_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -118,21 +120,30 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     stretch = SLOTS // 256
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, held, size = np.zeros(SLOTS, np.int64), [], 0
+        total, held, size = np.zeros(SLOTS, np.uint32), [], 0
         for f in frames:
             for text in f["text"]:
                 held.append(_slots(shingles(text, width)))
                 size += len(held[-1])
-                if size > SLOTS:
-                    total += np.bincount(np.concatenate(held), minlength=SLOTS)
+                if size > SLOTS // 4:
+                    total += np.bincount(np.concatenate(held), minlength=SLOTS).astype(np.uint32)
                     held, size = [], 0
-        total += np.bincount(np.concatenate([*held, np.empty(0, np.int64)]), minlength=SLOTS)
-        yield pd.DataFrame({"at": np.arange(256, dtype=np.int32), "n": [total[i : i + stretch].tobytes() for i in range(0, SLOTS, stretch)]})
+        total += np.bincount(np.concatenate([*held, np.empty(0, np.int64)]), minlength=SLOTS).astype(np.uint32)
+        yield packed(total)
 
-    def add(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": f["at"].iloc[:1], "n": [sum(np.frombuffer(bytes(x), np.int64) for x in f["n"]).tobytes()]})
+    def packed(total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"at": np.arange(256, dtype=np.int32), "n": [total[i : i + stretch].tobytes() for i in range(0, SLOTS, stretch)]})
 
-    rows = docs.select("text").mapInPandas(each, "at int, n binary").groupBy("at").applyInPandas(add, "at int, n binary").toPandas()
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for f in frames:
+            for at, n in zip(f["at"].tolist(), f["n"], strict=True):
+                part = np.frombuffer(bytes(n), np.uint32)
+                sums[at] = sums[at] + part if at in sums else part.astype(np.int64)
+        yield pd.DataFrame({"at": np.array(list(sums), np.int32), "n": [n.tobytes() for n in sums.values()]})
+
+    # A task sums the stretches it is dealt batch by batch, however many tasks wrote them.
+    rows = docs.select("text").mapInPandas(each, "at int, n binary").repartition("at").mapInPandas(add, "at int, n binary").toPandas()
     out = np.zeros(SLOTS, np.int64)
     for at, n in zip(rows["at"], rows["n"], strict=True):
         out[at * stretch : (at + 1) * stretch] = np.frombuffer(bytes(n), np.int64)
@@ -291,7 +302,8 @@ def linked_pairs(sets: list[np.ndarray], parts: np.ndarray, left: np.ndarray, ri
 
 
 def _in_cells(large: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components of the members (``bucket, node, c, size``) of large buckets."""
+    """Links (a, b) between components of the members (``bucket, node, c, size, shingles``) of large buckets. A cell
+    takes two blocks of a bounded number of nodes and, in the mean, of shingles, so long texts make more cells."""
 
     def cell(f: pd.DataFrame) -> pd.DataFrame:
         i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
@@ -302,7 +314,7 @@ def _in_cells(large: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         return pd.DataFrame({"a": [max(node[x], node[y]) for x, y in found], "b": [min(node[x], node[y]) for x, y in found]}, dtype="int64")
 
     full = _sets(docs, large.select("node").distinct(), width)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     rows = large.select("bucket", "node", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other).select("bucket", "node", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -311,6 +323,7 @@ def _in_cells(large: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row; see the module's text for all cases."""
+    small_batches(docs.sparkSession)
     sketched = save(sketches(docs, width, percent), "sketches")
     filled = sketched.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     nodes = filled.groupBy("key").agg(F.min(F.struct("doc_id", "n", "regs", "posts")).alias("r"))
@@ -321,15 +334,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     several = named.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("doc_id")
     same = named.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
 
-    posted = nodes.select("node", F.explode("posts").alias("bucket"))
+    posted = nodes.select("node", "n", F.explode("posts").alias("bucket"))
     shared = posted.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("hi")).where("leader < hi").select("bucket", "leader")
     members = save(posted.join(shared, "bucket"), "members")
     pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     links = save(same.union(_confirmed(pairs, nodes, docs, width, percent)), "links")
     component = connected_components(links)
 
-    mine = members.join(component, "node", "left").select("bucket", "node", "leader", F.coalesce("component", "node").alias("c"))
-    mixed = mine.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
+    mine = members.join(component, "node", "left").select("bucket", "node", "n", "leader", F.coalesce("component", "node").alias("c"))
+    mixed = mine.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("lo < hi").select("bucket", "size", "shingles")
     rest = save(mine.join(mixed, "bucket"), "rest")
     forget(members)
     few = rest.where((F.col("size") <= SMALL) & (F.col("node") != F.col("leader")))
@@ -352,15 +365,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with their own columns only, one for each component: that of the least id, and of rows
-    that share this id any one. Rows with null ids stay."""
+    that share this id the one whose JSON has the least md5. Rows with null ids stay."""
     decided = save(near_duplicates(docs, width, percent), "decided")
-    gone = decided.where("not kept").select("doc_id").distinct()
-    left = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = save(decided.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    id_ = fresh("id", docs)
+    gone = decided.where("not kept").select(F.col("doc_id").alias(id_)).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone[id_], "left_anti")
+    twice = save(decided.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_)), "twice")
     if twice.isEmpty():
         return left
-    once = left.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
-    return once.union(left.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    once = left.join(twice, left["doc_id"] == twice[id_], "left_anti")
+    row = F.struct(*docs.columns)
+    first = F.min_by(row, F.md5(F.to_json(row).cast("binary"))).alias("row")
+    return once.union(left.join(twice, left["doc_id"] == twice[id_], "left_semi").groupBy("doc_id").agg(first).select("row.*"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +385,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Exact for any input that DuckDB can hold: all pairs that share a shingle.
 ORACLE = r"""
-WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
              ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 k AS (SELECT list_sort(s) AS k, min(doc_id) AS node FROM s WHERE len(s) > 0 GROUP BY 1),
@@ -377,12 +393,11 @@ e AS (SELECT node, len(k) AS n, unnest(k) AS x FROM k),
 p AS (SELECT a.node AS a, b.node AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
 l AS (SELECT a, b FROM p WHERE 100 * i >= 85 * (na + nb - i)),
 both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-reach AS (SELECT node AS root, node FROM k UNION SELECT reach.root, both_ways.b FROM %s reach JOIN both_ways ON reach.node = both_ways.a),
+reach AS (SELECT node AS root, node FROM k UNION SELECT reach.root, both_ways.b FROM reach JOIN both_ways ON reach.node = both_ways.a),
 c AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, coalesce(c.component_id, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN k ON list_sort(s.s) = k.k LEFT JOIN c ON k.node = c.node
 """
-ORACLE = ORACLE.replace("WITH w AS", "WITH RECURSIVE w AS", 1).replace("%s reach", "reach")
 
 QUERIES = {"op10_near_duplicates": op10_near_duplicates}
 ORACLES = {"op10_near_duplicates": ORACLE}
