@@ -55,8 +55,10 @@ def test_recording_query_equals_its_sql(spark, name):
     assert_same(spark, recordings.QUERIES[name], recordings.ORACLES[name], SF)
 
 
-def test_lowpass_runs(spark):
-    assert telemetry.QUERIES["lowpass"](spark, SF).count() == 1000
+@pytest.mark.parametrize("name", ["match_by_time", "align_time", "interp_pose", "integrate", "unwrap", "cumulative_distance"])
+def test_no_table_is_one_task(spark, name):
+    plan = telemetry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "_seg" in plan
 
 
 def test_plans_push_down_and_prune(spark):

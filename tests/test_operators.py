@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import geometry as G
 from tideline.functions.numeric import nan_min, nan_percentile, safe_div
-from tideline.operators import align, fields, ordered, spectral, summary, times
+from tideline.operators import align, fields, ordered, segments, spectral, summary, times
 
 BY, ORDER = ["k"], ["t", "i"]
 
@@ -261,6 +261,101 @@ def test_lowpass_recovers_a_sine(spark):
     assert np.abs(got - clean)[100:-100].max() < 0.05
 
 
+def plain_filter(b, a, x):
+    """One section, sample by sample."""
+    s1, s2, out = (1 - b[0]) * x[0], (b[2] - a[2]) * x[0], []
+    for v in x:
+        y = b[0] * v + s1
+        s1, s2 = b[1] * v - a[1] * y + s2, b[2] * v - a[2] * y
+        out.append(y)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 1000])
+def test_blocks_equal_samples(n):
+    x = np.random.default_rng(n).normal(size=n)
+    for degree in (1, 4, 5):
+        for b, a in spectral.butterworth(degree, 3, 200):
+            assert np.allclose(spectral._Section(b, a).run(x), plain_filter(b, a, x), atol=1e-10)
+
+
+@pytest.mark.parametrize("n", [120, 400, 1000, 1203])
+def test_lowpass_in_chunks(spark, n):
+    t = np.arange(n) / 100
+    df = seq(spark, t, x=np.cumsum(np.random.default_rng(6).normal(size=n)))
+    whole = values(spectral.lowpass(df, "x", 20, 100, BY, ORDER), "lowpass")
+    assert spectral.settling(20, 100) < 100
+    got = values(spectral.lowpass(df, "x", 20, 100, BY, ORDER, bounds=segments.span(df.select("t")), chunk=200), "lowpass")
+    assert len(got) == n and np.allclose(got, whole, atol=1e-9)
+
+
+def ragged(spark):
+    """Sequences with hot, tiny and null keys, equal times, nulls, NaN and infinite times."""
+    rng = np.random.default_rng(8)
+    rows = [("hot" if i % 3 else None, i, float(np.round(rng.normal(0, 5), 1)), None if i % 7 == 0 else float(rng.normal())) for i in range(400)]
+    rows += [("one", 1000, 1.0, 2.0), ("none", 1001, 0.0, None), ("hot", 1002, float("nan"), 1.0), ("hot", 1003, float("inf"), 2.0), ("hot", 1004, float("-inf"), 3.0), ("hot", 1005, None, 4.0)]
+    return spark.createDataFrame(rows, "k string, i long, t double, x double")
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+@pytest.mark.parametrize("strict", [False, True])
+def test_neighbours_and_sums_in_segments_equal_whole_windows(spark, by, strict):
+    from pyspark.sql import Window
+
+    df, order = ragged(spark), ["t", "i"]
+    bounds = segments.span(df.select("t"))
+    assert all(map(math.isfinite, bounds)) and segments.span(df.where("false").select("t")) == (0.0, 0.0)
+    w = Window.partitionBy(*by)
+    before = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    after = w.orderBy(*order).rowsBetween(1 if strict else 0, Window.unboundedFollowing)
+    want = df.withColumns({"v_before": F.last("x", True).over(before), "v_after": F.first("x", True).over(after)})
+    got = segments.around(df, {"v": F.col("x")}, by, order, bounds, strict)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    sums = {r["i"]: r["s"] for r in df.withColumn("s", F.sum("x").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).collect()}
+    mine = {r["i"]: r["s"] for r in segments.running_sums(df, {"s": F.col("x")}, by, order, bounds).collect()}
+    assert mine.keys() == sums.keys() and all((a is None) == (mine[i] is None) and (a is None or abs(a - mine[i]) < 1e-9) for i, a in sums.items())
+
+
+def test_running_operators_in_segments(spark):
+    df = ragged(spark).where("t is not null and abs(t) < 100").withColumns({"p": G.point("x", F.col("x") * 2), "a": F.col("x") * 4, "y": F.coalesce("x", F.lit(0.0))})
+    bounds, order = segments.span(df.select("t")), ["t", "i"]
+    for run, out in (
+        (lambda **k: ordered.with_integral(df, "y", "t", BY, order, **k), "integral"),
+        (lambda **k: ordered.with_unwrapped(df.where("x is not null"), "a", BY, order, **k), "unwrapped"),
+        (lambda **k: ordered.with_cumulative_distance(df, "p", BY, order, **k), "distance"),
+    ):
+        assert np.allclose(np.array(values(run(), out), float), np.array(values(run(bounds=bounds), out), float), atol=1e-9), out
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_percentiles_equal_numpy(spark, by):
+    df = ragged(spark)
+    got = {r["_k0"] if by else None: r for r in segments.percentiles(df, F.col("x"), [0.0, 0.05, 0.5, 0.95, 1.0], [F.col(b) for b in by]).collect()}
+    rows = df.where("x is not null").toPandas()
+    for key, r in got.items():
+        x = rows[rows["k"].isna() if key is None else rows["k"] == key]["x"] if by else rows["x"]
+        assert r["_n"] == len(x) and np.allclose([r[f"_p{i}"] for i in range(5)], np.percentile(x, [0, 5, 50, 95, 100]))
+    assert len(got) == (3 if by else 1)
+    d = summary.describe(df, "x").first()
+    assert d["median"] == pytest.approx(np.median(rows["x"])) and summary.describe(df.where("false"), "x").first()["median"] is None
+
+
+def test_pose_forms(spark):
+    df = spark.range(1).select(F.struct(G.point(F.lit(3.0), F.lit(5.0), F.lit(0.0)).alias("position"), G.yaw_to_quat(F.lit(0.1)).alias("orientation")).alias("pose"), pose(1, 2, 0).alias("ref"))
+    for actual in ("pose", F.col("pose"), fields.msg(df).pose, {"x": 3, "y": 5, "yaw": 0.1}):
+        for reference in ("ref", {"x": 1, "y": 2, "yaw": 0}):
+            r = ordered.with_pose_error(df, actual, reference, "xy").first()["pose_error"]
+            assert (r["along"], r["cross"], r["yaw"]) == (2, 3, pytest.approx(0.1))
+    for bad in ("pose.position", {"x": 1}, 3):
+        with pytest.raises(TypeError):
+            ordered.with_pose_error(df, bad, "ref", "xy")
+
+
+def test_fields_are_columns(spark):
+    df = nested(spark)
+    assert df.select(G.distance_2d(fields.msg(df).twist.linear, fields.msg(df)["twist"]["linear"]).alias("d")).first()["d"] == 0
+
+
 @pytest.mark.parametrize("order", [1, 2, 3, 4, 5, 6])
 def test_butterworth_gains(order):
     z = np.exp(1j * 2 * np.pi * 20 / 200)
@@ -315,6 +410,9 @@ def test_explode_array(spark):
     assert fields.explode_array(df, "a", ["p", "q"]).columns == ["p", "q"]
     with pytest.raises(ValueError, match="names has"):
         fields.explode_array(df, "a", ["p"])
+    with pytest.raises(Exception, match="names has"):
+        fields.explode_array(df, "a", ["p"], check=False).collect()
+    assert fields.explode_array(df, "a", ["p", "q", "r"], check=False).where("q is null").count() == 1
 
 
 def test_plot_frames(spark):

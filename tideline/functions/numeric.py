@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from typing import Any
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ColumnLike = str | Column
+#: A name, a column, or a path into a schema (``operators.fields.Fields``).
+ColumnLike = str | Column | Any
 NAN, INF = float("nan"), float("inf")
 
 
 def col(c: ColumnLike) -> Column:
-    """A column by (dotted) name, or as given."""
-    return F.col(c) if isinstance(c, str) else c
+    """A column by (dotted) name, as given, or of a path into a schema; TypeError for anything else."""
+    if isinstance(c, str):
+        return F.col(c)
+    if not isinstance(c, Column) and isinstance(getattr(type(c), "col", None), property):
+        c = c.col
+    if not isinstance(c, Column):
+        raise TypeError(f"expected a name, a column or fields, not {type(c).__name__}")
+    return c
 
 
 def dbl(c: ColumnLike) -> Column:
@@ -46,6 +55,17 @@ def nan_percentile(x: Column, p: float) -> Column:
     return nan_or(x, F.percentile(x, F.lit(float(p))))
 
 
+def with_aggregates(df: DataFrame, by: Sequence[ColumnLike], **aggregates: Column) -> DataFrame:
+    """``df`` with aggregates of each row's sequence: grouped, so summed up before the shuffle, and joined back. A window
+    over whole sequences would give the same, but sort each of them in one task."""
+    keys = [col(b).alias(f"_k{i}") for i, b in enumerate(by)]
+    ends = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggregates.items()])
+    if not by:
+        return df.crossJoin(F.broadcast(ends))  # one row
+    same = reduce(lambda x, y: x & y, [col(b).eqNullSafe(F.col(f"_k{i}")) for i, b in enumerate(by)])
+    return df.join(ends, same).drop(*[f"_k{i}" for i in range(len(by))])
+
+
 def sequence(by: Sequence[ColumnLike], order: Sequence[ColumnLike]) -> WindowSpec:
     """The rows of one sequence in order. ``order`` should end in a unique column."""
     return Window.partitionBy(*map(col, by)).orderBy(*map(col, order))

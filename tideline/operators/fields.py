@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions.numeric import ColumnLike, col, dbl, sequence
+from tideline.functions.numeric import ColumnLike, col, dbl, sequence, with_aggregates
 
 
 def leaves(schema: T.StructType, prefix: str = "") -> list[str]:
@@ -63,12 +63,16 @@ def msg(df: DataFrame) -> Fields:
     return Fields(df)
 
 
-def explode_array(df: DataFrame, array: ColumnLike, names: Sequence[str] | None = None, keep: Sequence[ColumnLike] = ()) -> DataFrame:
+def explode_array(df: DataFrame, array: ColumnLike, names: Sequence[str] | None = None, keep: Sequence[ColumnLike] = (), check: bool = True) -> DataFrame:
     """One column an element (named 0, 1, ... by default); short rows give null.
 
-    Without names the width is the longest row's, found by one aggregate; with names rows that are longer raise.
+    The width is the longest row's, found by one aggregate; names must be as many. ``check=False`` saves that pass where
+    names are given: a row that is longer then fails when it is read.
     """
     a = col(array)
+    if names is not None and not check:
+        long = F.when(F.size(a) > len(names), F.raise_error(F.lit(f"names has {len(names)} entries for a longer row")).cast("array<int>"))
+        return df.where(long.isNull()).select(*map(col, keep), *[F.get(a, i).alias(n) for i, n in enumerate(names)])
     width = df.agg(F.max(F.size(a)).alias("n")).first()["n"] or 0
     if names is None:
         names = [str(i) for i in range(width)]
@@ -131,7 +135,9 @@ def plot_step_response(df: DataFrame, t: ColumnLike, actual: ColumnLike, target:
 def plot_error_band(df: DataFrame, t: ColumnLike, error: ColumnLike, by: Sequence[ColumnLike] = (), sigma: float | None = None) -> DataFrame:
     """``by..., t, error, lower, upper``: a band of one population deviation, or of ``sigma``."""
     e = dbl(error)
-    s = F.lit(float(sigma)) if sigma is not None else F.stddev_pop(e).over(Window.partitionBy(*map(col, by)))
+    if sigma is None:
+        df = with_aggregates(df, by, _sigma=F.stddev_pop(e))
+    s = F.lit(float(sigma)) if sigma is not None else F.col("_sigma")
     return df.select(*map(col, by), dbl(t).alias("t"), e.alias("error"), (-s).alias("lower"), s.alias("upper"))
 
 

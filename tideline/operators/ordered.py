@@ -11,11 +11,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tideline.functions.geometry import TURN, along_cross, angle_diff, parts, quat_to_yaw
-from tideline.functions.numeric import NAN, ColumnLike, dbl, running, safe_div, sequence
+from tideline.functions.geometry import TURN, along_cross, angle_diff, parts, pose_to_xyyaw, quat_to_yaw
+from tideline.functions.numeric import NAN, ColumnLike, col, dbl, running, safe_div, sequence
+from tideline.operators.segments import accumulated
 
 Columns = Sequence[ColumnLike]
+#: Running sums take the least and greatest value of the first column of ``order`` (``segments.span``), a number, to work
+#: in segments of it, so that a long sequence is many tasks; ``by`` and ``order`` are then names. None: a task a sequence.
+Bounds = tuple[float, float] | None
 
 
 def with_diff(df: DataFrame, x: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "diff") -> DataFrame:
@@ -25,9 +30,11 @@ def with_diff(df: DataFrame, x: ColumnLike, t: ColumnLike, by: Columns, order: C
     return df.withColumn(out, safe_div(x - F.lag(x).over(w), t - F.lag(t).over(w)))
 
 
-def with_integral(df: DataFrame, x: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "integral") -> DataFrame:
+def with_integral(df: DataFrame, x: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "integral", bounds: Bounds = None) -> DataFrame:
     """Cumulative trapezoid, 0 at the first row; a NaN stays in all later rows."""
     w, x, t = sequence(by, order), dbl(x), dbl(t)
+    if bounds is not None:
+        return accumulated(df, F.struct(x.alias("x"), t.alias("t")), lambda a, b: 0.5 * (b["x"] + a["x"]) * (b["t"] - a["t"]), by, order, bounds, out)
     step = F.coalesce(0.5 * (x + F.lag(x).over(w)) * (t - F.lag(t).over(w)), F.lit(0.0))
     return df.withColumn("_step", step).withColumn(out, F.sum("_step").over(running(by, order))).drop("_step")
 
@@ -49,18 +56,23 @@ def _turn_step(a: Column, before: Column) -> Column:
     return F.when(F.abs(raw) < math.pi, raw).otherwise(m)
 
 
-def with_unwrapped(df: DataFrame, angle: ColumnLike, by: Columns, order: Columns, out: str = "unwrapped") -> DataFrame:
+def with_unwrapped(df: DataFrame, angle: ColumnLike, by: Columns, order: Columns, out: str = "unwrapped", bounds: Bounds = None) -> DataFrame:
     """Angles without jumps of over half a turn."""
     a = dbl(angle)
-    before = F.lag(a).over(sequence(by, order))
-    fix = F.when(before.isNull() | (F.abs(a - before) < math.pi), F.lit(0.0)).otherwise(_turn_step(a, before) - (a - before))
+    mend = lambda b, a: F.when(b.isNull() | (F.abs(a - b) < math.pi), F.lit(0.0)).otherwise(_turn_step(a, b) - (a - b))
+    if bounds is not None:
+        done = accumulated(df, F.struct(a.alias("a")), lambda p, q: mend(p["a"], q["a"]), by, order, bounds, "_fix")
+        return done.withColumn(out, a + F.col("_fix")).drop("_fix")
+    fix = mend(F.lag(a).over(sequence(by, order)), a)
     return df.withColumn("_fix", fix).withColumn(out, a + F.sum("_fix").over(running(by, order))).drop("_fix")
 
 
-def with_cumulative_distance(df: DataFrame, position: ColumnLike, by: Columns, order: Columns, out: str = "distance") -> DataFrame:
+def with_cumulative_distance(df: DataFrame, position: ColumnLike, by: Columns, order: Columns, out: str = "distance", bounds: Bounds = None) -> DataFrame:
     """Length of the path so far in the x-y plane, from 0."""
     w = sequence(by, order)
     x, y = parts(position, "x", "y")
+    if bounds is not None:
+        return accumulated(df, F.struct(x.alias("x"), y.alias("y")), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]), by, order, bounds, out)
     step = F.coalesce(F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w)), F.lit(0.0))
     return df.withColumn("_step", step).withColumn(out, F.sum("_step").over(running(by, order))).drop("_step")
 
@@ -86,13 +98,30 @@ def gradient(x: Column, by: Columns, order: Columns) -> Column:
     return F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2.0)
 
 
-def with_pose_error(df: DataFrame, actual: ColumnLike, reference: ColumnLike, frame: str, by: Columns = (), order: Columns = (), out: str = "pose_error") -> DataFrame:
-    """``struct<along, cross, yaw>`` of two ``struct<x, y, yaw>`` columns.
+def xyyaw(df: DataFrame, pose: ColumnLike | dict[str, float]) -> Column:
+    """``struct<x, y, yaw>`` of any form of a pose: a struct with ``position`` and ``orientation``, one with ``x, y,
+    yaw``, or a dict of these three numbers. TypeError for anything else."""
+    if isinstance(pose, dict):
+        if not {"x", "y", "yaw"} <= set(pose):
+            raise TypeError(f"a pose needs x, y and yaw, not {sorted(pose)}")
+        return F.struct(*[F.lit(float(pose[n])).alias(n) for n in ("x", "y", "yaw")])
+    p = col(pose)
+    kind = df.select(p).schema[0].dataType
+    names = set(kind.names) if isinstance(kind, T.StructType) else set()
+    if {"position", "orientation"} <= names:
+        return pose_to_xyyaw(p)
+    if {"x", "y", "yaw"} <= names:
+        return p
+    raise TypeError(f"{kind.simpleString()} is no pose: it needs position and orientation, or x, y and yaw")
+
+
+def with_pose_error(df: DataFrame, actual: ColumnLike | dict, reference: ColumnLike | dict, frame: str, by: Columns = (), order: Columns = (), out: str = "pose_error") -> DataFrame:
+    """``struct<along, cross, yaw>`` of two poses, in any form that :func:`xyyaw` takes.
 
     Frames: ``xy`` (axes as they are), ``ref_heading`` (turned by the reference's yaw), ``ref_path`` (turned by
     the tangent of the reference's path; needs ``by`` and ``order``).
     """
-    (ax, ay, ayaw), (rx, ry, ryaw) = parts(actual, "x", "y", "yaw"), parts(reference, "x", "y", "yaw")
+    (ax, ay, ayaw), (rx, ry, ryaw) = (parts(xyyaw(df, p), "x", "y", "yaw") for p in (actual, reference))
     dx, dy = ax - rx, ay - ry
     if frame == "xy":
         along, cross = dx, dy

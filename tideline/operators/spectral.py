@@ -1,7 +1,8 @@
 """Operators with no relational form: spectra, zero-phase filters, cross-correlation. Grouped numpy kernels.
 
-One sequence is one task here, for the transform needs all of it. ``dft`` is the relational form of ``fft`` for
-short sequences.
+One sequence is one task in ``fft`` and ``delay_estimate``, for the transform needs all of it: 16 and 24 bytes a row, so
+sequences should stay under some 100 million rows. ``lowpass`` cuts long ones into chunks. ``dft`` is the relational
+form of ``fft`` for short sequences.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions.numeric import sequence
+from tideline.functions.numeric import sequence, with_aggregates
+from tideline.operators.segments import running_sums
 
 Names = Sequence[str]
+#: Samples that a filter takes in one matrix product, and rows of a sequence that are filtered in one task.
+BLOCK, CHUNK = 256, 1 << 18
 
 
 def _keyed(df: DataFrame, by: Names, order: Names, **values: str) -> DataFrame:
@@ -91,42 +95,91 @@ def butterworth(order: int, cutoff: float, fs: float) -> list[tuple[np.ndarray,
     return sections
 
 
-def _run(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
-    """The sections one after the other, each started in its steady state for the first sample."""
-    for b, a in sections:
-        s1, s2 = (1 - b[0]) * x[0], (b[2] - a[2]) * x[0]
-        out = np.empty_like(x)
-        b0, b1, b2, a1, a2 = float(b[0]), float(b[1]), float(b[2]), float(a[1]), float(a[2])
-        for i, v in enumerate(x.tolist()):
-            y = b0 * v + s1
-            s1 = b1 * v - a1 * y + s2
-            s2 = b2 * v - a2 * y
-            out[i] = y
-        x = out
-    return x
+class _Section:
+    """A second-order section as matrices over a block of BLOCK samples: the block's output from its input and from the
+    state before it, and the state behind it."""
+
+    def __init__(self, b: np.ndarray, a: np.ndarray):
+        step, inward = np.array([[-a[1], 1.0], [-a[2], 0.0]]), b[1:] - a[1:] * b[0]
+        powers = [np.eye(2)]
+        for _ in range(BLOCK):
+            powers.append(step @ powers[-1])
+        answer = np.array([b[0], *[(p @ inward)[0] for p in powers[: BLOCK - 1]]])
+        at = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+        self.own = np.where(at >= 0, answer[np.maximum(at, 0)], 0.0).T
+        self.from_state = np.array([p[0] for p in powers[:BLOCK]]).T
+        self.to_state = np.array([p @ inward for p in powers[BLOCK - 1 :: -1]])
+        self.behind = powers[BLOCK].T
+        self.steady = np.array([1 - b[0], b[2] - a[2]])
+
+    def run(self, x: np.ndarray) -> np.ndarray:
+        """The section's output, started in the steady state of the first sample."""
+        blocks = np.pad(x, (0, -len(x) % BLOCK)).reshape(-1, BLOCK)
+        adds, states = blocks @ self.to_state, np.empty((len(blocks), 2))
+        state = self.steady * x[0]
+        for i, add in enumerate(adds):
+            states[i] = state
+            state = state @ self.behind + add
+        return (blocks @ self.own + states @ self.from_state).ravel()[: len(x)]
+
+
+def _padding(sections: list[tuple[np.ndarray, np.ndarray]]) -> int:
+    return 3 * (2 * len(sections) + 1 - min(sum(b[2] == 0 for b, _ in sections), sum(a[2] == 0 for _, a in sections)))
 
 
 def zero_phase(x: np.ndarray, cutoff: float, fs: float, order: int = 4) -> np.ndarray:
     """Forward and backward low-pass of ``x``, its ends extended by odd reflection."""
     sections = butterworth(order, cutoff, fs)
-    pad = 3 * (2 * len(sections) + 1 - min(sum(b[2] == 0 for b, _ in sections), sum(a[2] == 0 for _, a in sections)))
+    pad = _padding(sections)
     if len(x) <= pad:
         raise ValueError(f"lowpass needs more than {pad} samples, got {len(x)}")
-    long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    return _run(sections, _run(sections, long)[::-1])[::-1][pad:-pad]
+    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    compiled = [_Section(b, a) for b, a in sections]
+    for _ in range(2):
+        for section in compiled:
+            y = section.run(y)
+        y = y[::-1]
+    return y[pad:-pad]
+
+
+def settling(cutoff: float, fs: float, order: int = 4) -> int:
+    """Samples after which a low-pass has forgotten its start but for a part in 10^13."""
+    sections = butterworth(order, cutoff, fs)
+    slowest = max(np.abs(np.roots(a[:2] if a[2] == 0 else a)).max() for _, a in sections)
+    return max(_padding(sections), int(np.ceil(np.log(1e-15) / np.log(slowest))))
+
 
+def lowpass(df: DataFrame, x: str, cutoff: float, fs: float, by: Names, order: Names, degree: int = 4, out: str = "lowpass", bounds: tuple[float, float] | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Zero-phase Butterworth low-pass of each sequence: ``by..., order..., out``.
 
-def lowpass(df: DataFrame, x: str, cutoff: float, fs: float, by: Names, order: Names, degree: int = 4, out: str = "lowpass") -> DataFrame:
-    """Zero-phase Butterworth low-pass of each sequence: ``by..., order..., out``."""
+    With ``bounds`` (``segments.span`` of the first of ``order``, a number) a sequence of over ``chunk`` rows is cut
+    into chunks that are filtered apart, each with as many rows of its neighbours as the filter remembers
+    (:func:`settling`). Without, a sequence is one task.
+    """
     butterworth(degree, cutoff, fs)
+    keyed = _keyed(df, by, order, x=x)
+    schema = T.StructType([df.schema[b] for b in by] + [df.schema[o] for o in order] + [T.StructField(out, T.DoubleType())])
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = _sorted(pdf, order)
-        result = {b: pdf[b] for b in by} | {o: pdf[f"_o{i}"] for i, o in enumerate(order)}
-        return pd.DataFrame(result | {out: zero_phase(pdf["x"].to_numpy(), cutoff, fs, degree)})
-
-    schema = T.StructType([df.schema[b] for b in by] + [df.schema[o] for o in order] + [T.StructField(out, T.DoubleType())])
-    return _keyed(df, by, order, x=x).groupBy(*by).applyInPandas(kernel, schema)
+        y = zero_phase(pdf["x"].to_numpy(), cutoff, fs, degree)
+        if "_own" in pdf:
+            own = pdf["_own"].to_numpy()
+            pdf, y = pdf[own], y[own]
+        return pd.DataFrame({b: pdf[b] for b in by} | {o: pdf[f"_o{i}"] for i, o in enumerate(order)} | {out: y})
+
+    if bounds is None:
+        return keyed.groupBy(*by).applyInPandas(kernel, schema)
+    beside = settling(cutoff, fs, degree)
+    chunk = max(chunk, 2 * beside)
+    rows = running_sums(keyed, {"_i": F.lit(1).cast("long")}, by, [f"_o{i}" for i in range(len(order))], bounds).withColumn("_i", F.col("_i") - 1)
+    # A row is read by its own chunk, and by a neighbour whose border is near.
+    first, last = (F.floor((F.col("_i") + F.lit(d)) / chunk) for d in (-beside, beside))
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    rows = rows.withColumn("_own", F.col("_chunk") == F.floor(F.col("_i") / chunk))
+    # A chunk that lies wholly behind the end holds a neighbour's rows only.
+    rows = with_aggregates(rows, [*by, "_chunk"], _any=F.max("_own")).where("_any").drop("_any", "_i")
+    return rows.groupBy(*by, "_chunk").applyInPandas(kernel, schema)
 
 
 def best_lag(command: np.ndarray, response: np.ndarray) -> int:

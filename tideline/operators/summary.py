@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.numeric import NAN, ColumnLike, col, dbl, nan_min, nan_percentile, sequence
+from tideline.functions.numeric import NAN, ColumnLike, col, dbl, nan_min, sequence
+from tideline.operators.segments import percentiles
 
 Columns = Sequence[ColumnLike]
 
@@ -20,10 +22,23 @@ def rms(x: ColumnLike) -> Column:
 def describe(df: DataFrame, x: ColumnLike, by: Columns = ()) -> DataFrame:
     """``mean, std, min, max, median, p5, p95, rms``: population deviation, exact linear percentiles, NaN if any is."""
     x = dbl(x)
-    return df.groupBy(*map(col, by)).agg(
-        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), nan_min(x).alias("min"), F.max(x).alias("max"),
-        nan_percentile(x, 0.5).alias("median"), nan_percentile(x, 0.05).alias("p5"), nan_percentile(x, 0.95).alias("p95"), rms(x).alias("rms"),
-    )
+    plain = {"mean": F.avg(x), "std": F.stddev_pop(x), "min": nan_min(x), "max": F.max(x), "rms": rms(x)}
+    return _with_percentiles(df, x, {"median": 0.5, "p5": 0.05, "p95": 0.95}, plain, by, ("mean", "std", "min", "max", "median", "p5", "p95", "rms"))
+
+
+def _with_percentiles(df: DataFrame, x: Column, shares: dict[str, float], plain: dict[str, Column], by: Columns, names: Sequence[str]) -> DataFrame:
+    """The plain aggregates and exact percentiles of each sequence; a percentile is NaN if any value is."""
+    keys = [c if isinstance(c, str) else f"_b{i}" for i, c in enumerate(by)]
+    bad = F.max(F.isnan(x).cast("int")) == 1
+    left = df.groupBy(*[col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(*[c.alias(n) for n, c in plain.items()], bad.alias("_bad"))
+    right = percentiles(df, x, list(shares.values()), [col(c) for c in by])
+    if by:
+        same = reduce(lambda p, q: p & q, [left[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)])
+        both = left.join(right, same, "left")
+    else:
+        both = left.join(F.broadcast(right), F.lit(True), "left")  # a row each
+    exact = {n: F.when(F.col("_bad"), F.lit(NAN)).otherwise(F.col(f"_p{i}")) for i, n in enumerate(shares)}
+    return both.select(*keys, *[exact.get(n, F.col(n)).alias(n) for n in names])
 
 
 def tracking_error(df: DataFrame, actual: ColumnLike, reference: ColumnLike, by: Columns = ()) -> DataFrame:
@@ -115,4 +130,5 @@ def with_delay(df: DataFrame, published: ColumnLike, received: ColumnLike, out:
 def topic_delay(df: DataFrame, published: ColumnLike, received: ColumnLike, by: Columns = ()) -> DataFrame:
     """``mean, max`` (signed), ``std, median`` of received - published. The series itself: :func:`with_delay`."""
     d = dbl(received) - dbl(published)
-    return df.groupBy(*map(col, by)).agg(F.avg(d).alias("mean"), F.max(d).alias("max"), F.stddev_pop(d).alias("std"), nan_percentile(d, 0.5).alias("median"))
+    plain = {"mean": F.avg(d), "max": F.max(d), "std": F.stddev_pop(d)}
+    return _with_percentiles(df, d, {"median": 0.5}, plain, by, ("mean", "max", "std", "median"))

@@ -7,11 +7,12 @@ double, so nothing is lost at epoch size.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.numeric import ColumnLike, col, dbl, sequence, whole
+from tideline.functions.numeric import ColumnLike, col, dbl, sequence, whole, with_aggregates
 
 Columns = Sequence[ColumnLike]
 NS = 1_000_000_000
@@ -53,22 +54,24 @@ def align_origin(df: DataFrame, t: ColumnLike, series: Columns, order: Columns,
     if not series:
         raise ValueError("align_origin needs at least one series")
     t = dbl(t)
-    first = F.min(F.struct(*[col(o) for o in order], t.alias("_t"))).over(_all([*by, *series]))["_t"]
-    df = df.withColumn("_first", first)
-    return df.withColumn(out, t - F.min("_first").over(_all(by))).drop("_first")
-
-
-def _all(by: Columns):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*map(col, by))
+    by_series = [col(c).alias(f"_s{i}") for i, c in enumerate([*by, *series])]
+    first = F.min(F.struct(*[col(o) for o in order], t.alias("_t")))["_t"]
+    firsts = df.groupBy(*by_series).agg(first.alias("_first"))
+    keys = [f"_s{i}" for i in range(len(by))]
+    origin = firsts.groupBy(*keys).agg(F.min("_first").alias("_first"))
+    if by:
+        same = reduce(lambda x, y: x & y, [col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys, strict=True)])
+        df = df.join(origin, same).drop(*keys)
+    else:
+        df = df.crossJoin(F.broadcast(origin))  # one row
+    return df.withColumn(out, t - F.col("_first")).drop("_first")
 
 
 def time_slice(df: DataFrame, t_start: float, t_end: float, t: ColumnLike = "recv_time_ns", by: Columns = ()) -> DataFrame:
     """Rows from ``t_start`` to ``t_end`` seconds after the first of their sequence, both ends included."""
     low, high = round(t_start * NS), round(t_end * NS)
     ns = col(t).cast("long")
-    return df.withColumn("_since", ns - F.min(ns).over(_all(by))).where(F.col("_since").between(low, high)).drop("_since")
+    return with_aggregates(df, by, _first=F.min(ns)).where((ns - F.col("_first")).between(low, high)).drop("_first")
 
 
 def find_time(df: DataFrame, x: ColumnLike, condition: Callable[[Column], Column], t: ColumnLike = "recv_time_ns", by: Columns = ()) -> DataFrame:

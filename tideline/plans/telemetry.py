@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import geometry as G
 from tideline.operators import align, fields, ordered, spectral, summary, times
+from tideline.operators.segments import span
 
 BY, ORDER = ["event_type"], ["us", "event_id"]
 MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
@@ -44,7 +45,7 @@ def query(sql: str | None = None):
     def add(f: Callable[[DataFrame], DataFrame]):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(events(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = f"WITH {EV}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {EV}{sql if sql.lstrip().startswith(',') else ' ' + sql}"
         return f
 
     return add
@@ -111,7 +112,7 @@ def diff(e: DataFrame) -> DataFrame:
 @query(f""", s AS (SELECT *, coalesce(0.5::DOUBLE * (value + lag(value) OVER {W}) * (t - lag(t) OVER {W}), 0) AS a FROM ev)
  SELECT event_id, round(sum(a) OVER {RUN}, 1) AS integral FROM s""")
 def integrate(e: DataFrame) -> DataFrame:
-    return ordered.with_integral(e, "value", "t", BY, ORDER).select("event_id", F.round("integral", 1).alias("integral"))
+    return ordered.with_integral(e, "value", "t", BY, ORDER, bounds=span(e.select("us"))).select("event_id", F.round("integral", 1).alias("integral"))
 
 
 @query(f"""SELECT event_id, CASE WHEN count(*) OVER w = 10 THEN round(avg(value) OVER w, 6) END AS moving_average
@@ -129,7 +130,7 @@ WRAP = f"(({{x}}) + pi() - {PI2} * floor((({{x}}) + pi()) / {PI2}) - pi())"
  SELECT event_id, round(a + sum(c) OVER {RUN}, 6) AS unwrapped FROM c""")
 def unwrap(e: DataFrame) -> DataFrame:
     a = e.withColumn("a", F.col("value") * 0.7 % F.lit(G.TURN))
-    return ordered.with_unwrapped(a, "a", BY, ORDER).select("event_id", r6("unwrapped").alias("unwrapped"))
+    return ordered.with_unwrapped(a, "a", BY, ORDER, bounds=span(e.select("us"))).select("event_id", r6("unwrapped").alias("unwrapped"))
 
 
 @query(f"""SELECT event_id, round({WRAP.format(x="value * 0.7::DOUBLE")}, 6) + 0.0 AS normalized, round({WRAP.format(x="value * 0.7::DOUBLE - user_id")}, 6) + 0.0 AS difference FROM ev""")
@@ -241,7 +242,7 @@ HYPOT = f"sqrt((value - lag(value) OVER {W}) * (value - lag(value) OVER {W}) + (
 
 @query(f", s AS (SELECT *, coalesce({HYPOT}, 0) AS d FROM ev) SELECT event_id, round(sum(d) OVER {RUN}, 3) AS distance FROM s")
 def cumulative_distance(e: DataFrame) -> DataFrame:
-    return ordered.with_cumulative_distance(_pose(e), "pose.position", BY, ORDER).select("event_id", F.round("distance", 3).alias("distance"))
+    return ordered.with_cumulative_distance(_pose(e), "pose.position", BY, ORDER, bounds=span(e.select("us"))).select("event_id", F.round("distance", 3).alias("distance"))
 
 
 @query(f"SELECT event_id, round({HYPOT} / nullif(t - lag(t) OVER {W}, 0), 6) AS velocity FROM ev")
@@ -289,9 +290,8 @@ def find_time(e: DataFrame) -> DataFrame:
 
 def _two(e: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """The events of the first event type by name, and all others, as two topics."""
-    first = e.groupBy().agg(F.min("event_type").alias("_first"))
-    both = e.crossJoin(F.broadcast(first))  # one row
-    return both.where("event_type = _first").select(*columns), both.where("event_type <> _first").select(*columns)
+    first = F.lit(e.agg(F.min("event_type")).first()[0])
+    return e.where(F.col("event_type") == first).select(*columns), e.where(F.col("event_type") != first).select(*columns)
 
 
 TWO = ", f AS (SELECT min(event_type) AS f FROM ev), a AS (SELECT ev.* FROM ev, f WHERE event_type = f), b AS (SELECT ev.* FROM ev, f WHERE event_type <> f)"
@@ -381,9 +381,26 @@ def delay_estimate(e: DataFrame) -> DataFrame:
     return spectral.delay_estimate(x, "value", "r", "t", BY, ORDER).select("event_type", F.round("delay", 3).alias("delay"))
 
 
-@query()
+# The filter as a convolution with its impulse response: two second-order sections, each written out over 400 samples, by
+# which it has died down, forward and then backward; beyond the known signal its ends go on as they are.
+@query(""", c AS (SELECT k, 2 * tan(pi() * 5 / 100) AS w, pi() * (2 * k + 5) / 8 AS angle FROM (SELECT unnest([0, 1]) AS k)),
+ p AS (SELECT k, w * cos(angle) AS re, w * sin(angle) AS im FROM c),
+ z AS (SELECT k, (4 - re * re - im * im) / ((2 - re) * (2 - re) + im * im) AS re, ((2 + re) * (2 + re) + im * im) / ((2 - re) * (2 - re) + im * im) AS size FROM p),
+ s AS (SELECT k, -2 * re AS a1, size AS a2, (1 - 2 * re + size) / 4 AS g FROM z),
+ r AS (SELECT k, 0 AS n, g AS y, 0.0::DOUBLE AS before FROM s
+       UNION ALL SELECT r.k, n + 1, g * CASE n WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END - a1 * y - a2 * before, y FROM r JOIN s ON r.k = s.k WHERE n < 400),
+ h AS (SELECT a.n + b.n AS m, sum(a.y * b.y) AS y FROM r a JOIN r b ON a.k = 0 AND b.k = 1 AND a.n + b.n <= 400 GROUP BY 1),
+ i AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY us, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n,
+       first(value) OVER (PARTITION BY event_type ORDER BY us, event_id) AS x0, first(value) OVER (PARTITION BY event_type ORDER BY us DESC, event_id DESC) AS xl FROM ev),
+ e AS (SELECT event_type, i AS j, n, value AS v FROM i UNION ALL SELECT event_type, -i, n, 2 * x0 - value FROM i WHERE i BETWEEN 1 AND 15
+       UNION ALL SELECT event_type, 2 * (n - 1) - i, n, 2 * xl - value FROM i WHERE i BETWEEN n - 16 AND n - 2),
+ f AS (SELECT a.event_type, a.j, a.n, sum(a.y * b.v) AS v FROM (SELECT event_type, j, n, y, greatest(j - m, -15) AS at FROM e, h) a
+       JOIN e b ON b.event_type = a.event_type AND b.j = a.at GROUP BY ALL),
+ g AS (SELECT a.event_type, a.j, sum(a.y * b.v) AS v FROM (SELECT event_type, j, y, least(j + m, n + 14) AS at FROM f, h) a
+       JOIN f b ON b.event_type = a.event_type AND b.j = a.at GROUP BY ALL)
+ SELECT event_id, round(v, 6) + 0.0 AS lowpass FROM i JOIN g ON i.event_type = g.event_type AND i.i = g.j""")
 def lowpass(e: DataFrame) -> DataFrame:
-    return spectral.lowpass(e, "value", 5.0, 100.0, BY, ORDER).select("event_id", r6("lowpass").alias("lowpass"))
+    return spectral.lowpass(e, "value", 5.0, 100.0, BY, ORDER, bounds=span(e.select("us"))).select("event_id", r6("lowpass").alias("lowpass"))
 
 
 @query("""SELECT event_type, round(t, 6) AS t, label, round(v, 6) AS value FROM (SELECT event_type, t, 'value' AS label, value AS v FROM ev UNION ALL SELECT event_type, t, 'user', user_id FROM ev)""")
@@ -408,7 +425,7 @@ def plot_error_band(e: DataFrame) -> DataFrame:
 
 def explode_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    wide = fields.explode_array(df, "embedding", [f"e{i}" for i in range(64)], keep=["vec_id"])
+    wide = fields.explode_array(df, "embedding", [f"e{i}" for i in range(64)], keep=["vec_id"], check=False)
     return wide.select("vec_id", *[F.round(F.col(f"e{i}").cast("double"), 6).alias(f"e{i}") for i in range(64)])
 
 
