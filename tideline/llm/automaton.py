@@ -26,13 +26,15 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: GPT-2's published pre-split pattern, with white space spelled out; fixed values.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Bytes of a word up to which it is encoded beside others, words of one such step, and characters of a run of text.
-WIDE, WORDS, RUN = 64, 1 << 15, 1 << 21
+WIDE, WORDS, RUN = 64, 1 << 14, 1 << 21
 
 
 def byte_letters() -> dict[str, int]:
@@ -74,6 +76,11 @@ class Lookup:
         return out
 
 
+def stretches(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``first[0], first[0] + 1, ...``, ``count[0]`` of them, then those from ``first[1]`` on, and so forth."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
 class Automaton:
     """Arcs are token ids; ``label[i]`` holds the bytes that arc ``i`` emits when decoding."""
 
@@ -196,30 +203,35 @@ class Automaton:
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids by word) of the accepted paths that emit the words, in order."""
         size = np.fromiter(map(len, words), np.int64, len(words))
+        return self.encode_flat(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+
+    def encode_flat(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the words that stand at ``begin`` in ``raw``."""
         order = np.argsort(-size, kind="stable")
-        count, parts = np.zeros(len(words), np.int64), []
+        count, parts = np.zeros(len(size), np.int64), []
         long = int((size > WIDE).sum())
-        groups = [order[i : i + 1] for i in range(long)] + [order[i : i + WORDS] for i in range(long, len(words), WORDS)]
-        for group in groups:
-            ids, n = self._long(words[group[0]]) if size[group[0]] > WIDE else self._group([words[i] for i in group], size[group])
-            count[group] = n
+        for i in order[:long]:
+            ids = self._long(raw[begin[i] : begin[i] + size[i]].tobytes())
+            count[i] = len(ids)
+            parts.append(ids)
+        for at in range(long, len(size), WORDS):
+            group = order[at : at + WORDS]
+            ids, count[group] = self._group(raw, begin[group], size[group])
             parts.append(ids)
         # From the order by size back to that of the words.
-        ids, begin = np.concatenate([*parts, np.empty(0, np.int32)]), np.zeros(len(words), np.int64)
-        begin[order] = np.cumsum(count[order]) - count[order]
-        at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(ids))
-        return ids[at], count
+        ids, first = np.concatenate([*parts, np.empty(0, np.int32)]), np.zeros(len(size), np.int64)
+        first[order] = np.cumsum(count[order]) - count[order]
+        return ids[stretches(first, count)], count
 
-    def _group(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _group(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words in falling order of size, a byte of each at a time."""
-        raw, begin = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum(size) - size
         longest = int(size[0])
         active = np.searchsorted(-size, -np.arange(longest), side="left")  # words of more bytes than each step
-        last = np.zeros((longest + 1, len(words)), np.int32)
-        node = np.zeros(len(words), np.int32)
+        last = np.zeros((longest + 1, len(size)), np.int32)
+        node = np.zeros(len(size), np.int32)
         for i in range(longest):
             k = active[i]
-            node = self._step(node[:k], raw[begin[:k] + i])
+            node = self._step(node[:k], raw[begin[:k] + i].astype(np.int64))
             whole = self.depth[node] == i + 1
             last[i + 1, :k] = np.where(whole, self.last[node], -1)
             rest = np.flatnonzero(~whole)
@@ -230,13 +242,13 @@ class Automaton:
             steps.append((own, token))
             at[own] -= self.size[token]
             own = own[at[own] > 0]
-        count = np.bincount(np.concatenate([s[0] for s in steps]), minlength=len(words)) if steps else np.zeros(len(words), np.int64)
+        count = np.bincount(np.concatenate([s[0] for s in steps]), minlength=len(size)) if steps else np.zeros(len(size), np.int64)
         ids, end = np.empty(int(count.sum()), np.int32), np.cumsum(count) - 1
         for back, (own, token) in enumerate(steps):
             ids[end[own] - back] = token
         return ids, count
 
-    def _long(self, word: bytes) -> tuple[np.ndarray, int]:
+    def _long(self, word: bytes) -> np.ndarray:
         """The same pass over one long word; what it reads of the tables is remembered for this word only."""
         goto: dict[int, int] = {}
         known: dict[tuple[int, int], bool] = {}
@@ -267,7 +279,7 @@ class Automaton:
         while at:
             path.append(last[at])
             at -= int(size[last[at]])
-        return np.array(path[::-1], np.int32), len(path)
+        return np.array(path[::-1], np.int32)
 
     def encode_word(self, word: bytes) -> list[int]:
         """The one accepted path that emits ``word``."""
@@ -299,19 +311,23 @@ class Codec:
         self.automaton, self.added = load(path)
         self.labels = self.automaton.label | {i: s.encode() for s, i in self.added.items()}
         n = 1 + max(self.labels)
-        self.names, self.emits = np.empty(n, object), np.empty(n, object)
-        for i, label in self.labels.items():
-            self.names[i], self.emits[i] = str(i), label
+        self.names = pa.array([str(i) for i in range(n)], pa.string())
+        self.emits = pa.array([self.labels.get(i, b"") for i in range(n)], pa.binary())
         self.pieces = regex.compile(PIECES)
         self.unusual = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self.safe = regex.compile(rf"(?<=[^{SPACES}]) (?=[^{SPACES}])")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
+    def _single(self, text: str) -> bool:
+        """Does each blank stand between characters that are no white space?"""
+        return not (any(pair in text for pair in _PAIRS) or not text.isascii() and self.unusual.search(text))
+
+    def _plain(self, text: str) -> bool:
+        return self._single(text) and (self.special is None or not any(s in text for s in self.added))
+
     def _cut(self, text: str) -> list[str]:
         """Cut at single blanks between other characters: a piece begins at each, wherever it stands."""
-        if any(pair in text for pair in _PAIRS) or not text.isascii() and self.unusual.search(text):
-            return self.safe.split(text)
-        return text.split(" ")
+        return text.split(" ") if self._single(text) else self.safe.split(text)
 
     def _parts(self, text: str | None) -> list[str]:
         """The parts that no piece crosses. The first of a segment is marked by a line feed, which no part behind a
@@ -332,103 +348,111 @@ class Codec:
                 out += parts
         return out
 
-    def runs(self, texts) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray, tuple[np.ndarray, np.ndarray]]]:
-        """(``(text number, from, to)`` in the run's parts, the number of each part's distinct part, (ids of all
-        distinct parts, number of ids by distinct part)). A long text goes on in the next run."""
-        held, spans, size = [], [], 0
+    def runs(self, texts) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """(numbers of texts, where each one's ids begin and the last ones end, ids) of runs of up to RUN characters. A
+        longer text is several runs."""
+        held: list[tuple[int, str]] = []
+        size = 0
         for k, text in enumerate(texts):
-            parts = self._parts(text)
-            begin = 0
-            while begin < len(parts):
-                # As many parts as reach RUN characters; mostly the whole text.
-                end = len(parts)
-                if size + len(text) > RUN:
-                    end, room = begin, RUN - size
+            if not text:
+                continue
+            if size + len(text) > RUN and held:
+                yield self._run(held)
+                held, size = [], 0
+            if len(text) > RUN:
+                parts, begin = self._parts(text), 0
+                while begin < len(parts):
+                    end, room = begin, RUN
                     while end < len(parts) and room > 0:
                         room -= len(parts[end]) + 1
                         end += 1
-                chosen = parts if end - begin == len(parts) else parts[begin:end]
-                spans.append((k, len(held), len(held) + len(chosen)))
-                held += chosen
-                size += sum(map(len, chosen)) if chosen is not parts else len(text)
-                begin = end
-                if size >= RUN:
-                    yield spans, *self._encoded(held)
-                    held, spans, size = [], [], 0
+                    yield [k], *self._encoded(pa.array(parts[begin:end], pa.large_string()), np.array([0, end - begin]))
+                    begin = end
+            else:
+                held.append((k, text))
+                size += len(text)
         if held:
-            yield spans, *self._encoded(held)
-
-    def _encoded(self, parts: list[str]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-        number: dict[str, int] = {}
-        codes = np.fromiter((number.setdefault(p, len(number)) for p in parts), np.int64, len(parts))
+            yield self._run(held)
+
+    def _run(self, held: list[tuple[int, str]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        plain, numbers, other, rest = [], [], [], []
+        for k, text in held:
+            if self._plain(text):
+                plain.append("\n" + text)
+                numbers.append(k)
+            else:
+                rest.append(k)
+                other.append(self._parts(text))
+        cut = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
+        ends = cut.offsets.to_numpy()
+        more = pa.array([p for parts in other for p in parts], pa.large_string())
+        ends = np.concatenate([ends, ends[-1] + np.cumsum([len(parts) for parts in other], dtype=np.int64)])
+        return numbers + rest, *self._encoded(pa.concat_arrays([cut.flatten(), more]), ends)
+
+    def _encoded(self, parts: pa.Array, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the parts from each of ``bounds`` on begin, and the ids of all parts."""
+        coded = parts.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        # Words behind a blank are pieces of their own, the commonest; the others are matched, and their pieces numbered.
+        word = pc.utf8_is_alpha(distinct).to_numpy(zero_copy_only=False)
         piece: dict[str, int] = {}
-        flat: list[int] = []
-        sizes = np.empty(len(number), np.int64)
-        name = lambda p: piece.setdefault(p, len(piece))
-        for i, part in enumerate(number):
-            if part.isalpha():
-                flat.append(name(" " + part))
-                sizes[i] = 1
-            elif part[:2] == "\n\n" and part[2:] in self.added:  # a text that begins with a line feed is marked by one more
+        flat, sizes = [], np.ones(len(word), np.int64)
+        n_words = int(word.sum())
+        for i, part in zip(np.flatnonzero(~word).tolist(), distinct.filter(pa.array(~word)).to_pylist(), strict=True):
+            if part[:2] == "\n\n" and part[2:] in self.added:  # a text that begins with a line feed is marked by one more
                 flat.append(~self.added[part[2:]])
-                sizes[i] = 1
             else:
                 found = self.pieces.findall(part[1:] if part[:1] == "\n" else " " + part)
-                flat.extend(map(name, found))
                 sizes[i] = len(found)
-        ids, count = self.automaton.encode_words([p.encode() for p in piece])
+                flat += [piece.setdefault(p, len(piece)) for p in found]
+        words = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), distinct.filter(pa.array(word)), pa.scalar(" ", pa.large_string()))
+        words = pa.concat_arrays([words, pa.array(list(piece), pa.large_string())])
+        offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        ids, count = self.automaton.encode_flat(raw, offsets[:-1], np.diff(offsets))
+        # Added tokens stand behind the ids of words and pieces.
         begin = np.cumsum(count) - count
-        flat_ = np.array(flat, np.int64)
-        token = flat_ < 0
-        # Added tokens stand behind the pieces' ids.
-        extra, where = np.unique(~flat_[token], return_inverse=True)
-        begin, count, ids = np.concatenate([begin, len(ids) + np.arange(len(extra))]), np.concatenate([count, np.ones(len(extra), np.int64)]), np.concatenate([ids, extra.astype(np.int32)])
-        flat_[token] = len(piece) + where
-        n = count[flat_]
-        at = np.repeat(begin[flat_] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        of_part = np.zeros(len(number) + 1, np.int64)
-        np.cumsum(sizes, out=of_part[1:])
-        ends = np.concatenate([[0], np.cumsum(n)])[of_part]
-        return codes, (ids[at], np.diff(ends))
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for _, codes, (ids, count) in self.runs([text]):
-            begin, n = np.cumsum(count) - count, count[codes]
-            out += ids[np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tolist()
-        return out
+        number = np.array(flat, np.int64)
+        extra, where = np.unique(~number[number < 0], return_inverse=True)
+        number[number >= 0] += n_words
+        number[number < 0] = len(words) + where
+        begin, count = np.concatenate([begin, len(ids) + np.arange(len(extra))]), np.concatenate([count, np.ones(len(extra), np.int64)])
+        ids = np.concatenate([ids, extra.astype(np.int32)])
+        each = np.empty(int(sizes.sum()), np.int64)
+        is_word = np.repeat(word, sizes)
+        each[is_word], each[~is_word] = np.arange(n_words), number
+        # From pieces to distinct parts, and from these to all parts.
+        ids = ids[stretches(begin[each], count[each])]
+        ends = np.concatenate([[0], np.cumsum(count[each])])[np.concatenate([[0], np.cumsum(sizes)])]
+        begin, count = ends[:-1], np.diff(ends)
+        n = count[codes]
+        return np.concatenate([[0], np.cumsum(n)])[bounds], ids[stretches(begin[codes], n)]
 
     def encode_all(self, texts) -> list[np.ndarray]:
         """The ids of each text."""
         out: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
-        for spans, codes, (ids, count) in self.runs(texts):
-            begin, n = np.cumsum(count) - count, count[codes]
-            before = np.concatenate([[0], np.cumsum(n)])
-            every = ids[np.repeat(begin[codes] - before[:-1], n) + np.arange(int(before[-1]))]
-            for k, a, b in spans:
-                out[k].append(every[before[a] : before[b]])
+        for numbers, bounds, ids in self.runs(texts):
+            for k, a, b in zip(numbers, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                out[k].append(ids[a:b])
         return [x[0] if len(x) == 1 else np.concatenate([*x, np.empty(0, np.int32)]) for x in out]
 
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0].tolist()
+
     def counts(self, texts) -> np.ndarray:
         """The number of ids of each text, without keeping them."""
         out = np.zeros(len(texts), np.int64)
-        for spans, codes, (_, count) in self.runs(texts):
-            before = np.concatenate([[0], np.cumsum(count[codes])])
-            k, a, b = np.array(spans, np.int64).T
-            np.add.at(out, k, before[b] - before[a])
+        for numbers, bounds, _ in self.runs(texts):
+            np.add.at(out, numbers, np.diff(bounds))
         return out
 
     def written(self, texts) -> Iterator[tuple[int, int, str, bytes]]:
-        """(text number, number of ids, ids as text, emitted bytes) by run of parts, in order."""
-        for spans, codes, (ids, count) in self.runs(texts):
-            ends = np.cumsum(count).tolist()
-            begins, names, emits = [0, *ends], self.names[ids].tolist(), self.emits[ids].tolist()
-            strings = np.array([",".join(names[a:b]) for a, b in zip(begins, ends, strict=False)], object)
-            labels = np.array([b"".join(emits[a:b]) for a, b in zip(begins, ends, strict=False)], object)
-            before = np.concatenate([[0], np.cumsum(count[codes])]).tolist()
-            strings, labels = strings[codes].tolist(), labels[codes].tolist()
-            for k, a, b in spans:
-                yield k, before[b] - before[a], ",".join(filter(None, strings[a:b])), b"".join(labels[a:b])
+        """(text number, number of ids, ids as text, emitted bytes) by run, in order."""
+        for numbers, bounds, ids in self.runs(texts):
+            at, bounds = pa.array(ids), bounds.astype(np.int32)  # a run has far fewer than 2^31 ids
+            strings, emitted = (pc.binary_join(pa.ListArray.from_arrays(bounds, x.take(at)), pa.scalar(by, x.type)) for x, by in ((self.names, ","), (self.emits, b"")))
+            for k, n, string, label in zip(numbers, np.diff(bounds).tolist(), strings, emitted, strict=True):
+                yield k, n, string.as_py(), label.as_py()
 
     def decode(self, ids) -> str:
         """Emit the label of each arc; bytes that are no UTF-8 become U+FFFD, unknown ids emit nothing."""

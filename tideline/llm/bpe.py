@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.automaton import Codec
-from tideline.llm.common import small_batches, table
+from tideline.llm.common import released, small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,8 +32,8 @@ def encoded(text: Column, path: str) -> Column:
     """``array<int>``: the ids of the whole text."""
 
     @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(codec(path).encode_all(texts.to_numpy()), dtype=object)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(pd.Series(codec(path).encode_all(texts.to_numpy()), dtype=object) for texts in batches)
 
     return encode(text)
 
@@ -52,8 +53,8 @@ def token_count(text: Column, path: str) -> Column:
     """``bigint``: the number of ids, without keeping them."""
 
     @F.pandas_udf("bigint")
-    def count(texts: pd.Series) -> pd.Series:
-        return pd.Series(codec(path).counts(texts.to_numpy()))
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(pd.Series(codec(path).counts(texts.to_numpy())) for texts in batches)
 
     return count(text)
 
@@ -64,8 +65,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     The hashes take a long text run by run, so neither its ids nor what they emit is ever held whole.
     """
 
-    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def digest(texts: pd.Series) -> pd.DataFrame:
+    def of(texts: pd.Series) -> pd.DataFrame:
         n = np.zeros(len(texts), np.int64)
         hashes = [(hashlib.sha256(), hashlib.sha256()) for _ in range(len(texts))]
         for k, more, ids, emitted in codec(path).written(texts.to_numpy()):
@@ -79,6 +79,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n[k] += more
         return pd.DataFrame({"n_tokens": n, "ids_sha256": [a.hexdigest() for a, _ in hashes], "decoded_sha256": [b.hexdigest() for _, b in hashes]})
 
+    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(map(of, batches))
+
     small_batches(docs.sparkSession)
     return docs.select("doc_id", digest("text").alias("_d")).select("doc_id", "_d.*")
 

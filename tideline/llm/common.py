@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.shared import delete_on_exit, shared_dir
+
 #: Bytes of texts in one Arrow batch.
 BATCH_BYTES = 4 << 20
 
@@ -16,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
-
-    Where the session names none, one is made if everything runs in this machine (tests), else this is refused: on a
-    cluster each executor would write to its own disk.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='tideline-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -38,9 +27,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -69,6 +57,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches; then the worker, which may stay idle beside other ones, gives the memory they took back to the system."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim:
+            trim(0)
+
+
 def fold(doc_id: str | Column) -> Column:
     """crc32 of the id as text, modulo 4 (fold 2 is held out). A null id counts as the empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fold, small_batches, table
+from tideline.llm.common import fold, released, small_batches, table
 
 #: Documented bound of the training sample: documents, whole texts.
 TRAIN_ROWS = 4000
@@ -104,8 +105,8 @@ def train(docs: DataFrame, limit: int = TRAIN_ROWS, steps: int = 120) -> CodeMod
     """
 
     @F.pandas_udf("binary")
-    def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([_sparse(ngrams(t)) if _LETTER.search(t) else None for t in texts], dtype=object)
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(pd.Series([_sparse(ngrams(t)) if _LETTER.search(t) else None for t in texts], dtype=object) for texts in batches)
 
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id") != 2))
@@ -141,8 +142,8 @@ def identified(text: Column, model: CodeModel) -> Column:
     """``struct<lang_pred, score, ambiguous>``; null texts and texts without a letter: ``und``, 0, ambiguous."""
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def identify(texts: pd.Series) -> pd.DataFrame:
-        return model.predict(texts)
+    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(map(model.predict, batches))
 
     return identify(text)
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import forget, fresh, save, small_batches, table
+from tideline.llm.common import forget, fresh, released, save, small_batches, table
 from tideline.llm.components import connected_components
 
 #: Registers, rows of a band, base, rate: at similarity 0.85 all 24 bands fail with 8e-7.
@@ -143,7 +143,7 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
         yield pd.DataFrame({"at": np.array(list(sums), np.int32), "n": [n.tobytes() for n in sums.values()]})
 
     # A task sums the stretches it is dealt batch by batch, however many tasks wrote them.
-    rows = docs.select("text").mapInPandas(each, "at int, n binary").repartition("at").mapInPandas(add, "at int, n binary").toPandas()
+    rows = docs.select("text").mapInPandas(lambda f: released(each(f)), "at int, n binary").repartition("at").mapInPandas(lambda f: released(add(f)), "at int, n binary").toPandas()
     out = np.zeros(SLOTS, np.int64)
     for at, n in zip(rows["at"], rows["n"], strict=True):
         out[at * stretch : (at + 1) * stretch] = np.frombuffer(bytes(n), np.int64)
@@ -207,7 +207,7 @@ def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
             columns = dict(zip(("n", "key", "regs", "posts"), zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in ("n", "key", "regs", "posts")}
             yield pd.DataFrame({"doc_id": f["doc_id"], **columns})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, n long, key binary, regs binary, posts array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(lambda f: released(each(f)), "doc_id long, n long, key binary, regs binary, posts array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -218,7 +218,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"node": f["doc_id"], "s": [shingles(t, width).view(np.int64) for t in f["text"]]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(_may_be_in(F.col("doc_id"), wanted))
-    return rows.join(wanted, rows.doc_id == wanted.node, "left_semi").mapInPandas(each, "node long, s array<long>")
+    return rows.join(wanted, rows.doc_id == wanted.node, "left_semi").mapInPandas(lambda f: released(each(f)), "node long, s array<long>")
 
 
 def _may_be_in(doc_id: Column, wanted: DataFrame) -> Column:
@@ -231,11 +231,14 @@ def _may_be_in(doc_id: Column, wanted: DataFrame) -> Column:
     bits[words["word"]] = words["bits"]
     shared = wanted.sparkSession.sparkContext.broadcast(bits.astype(np.uint32))
 
-    @F.pandas_udf("boolean")
-    def test(slots: pd.Series) -> pd.Series:
+    def has(slots: pd.Series) -> pd.Series:
         at = slots.fillna(0).to_numpy(np.int64)
         return pd.Series((shared.value[at // 32] >> (at % 32).astype(np.uint32)) & np.uint32(1) == 1)
 
+    @F.pandas_udf("boolean")
+    def test(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(map(has, batches))
+
     return test(slot(doc_id))
 
 
@@ -243,13 +246,16 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int,
     """The pairs (a, b) of nodes whose full sets reach ``percent``: by sizes, by likelihood, then exactly."""
     limit = percent / 100
 
-    @F.pandas_udf("double")
-    def estimate(ru: pd.Series, rv: pd.Series, nu: pd.Series, nv: pd.Series) -> pd.Series:
+    def of(ru: pd.Series, rv: pd.Series, nu: pd.Series, nv: pd.Series) -> pd.Series:
         if not len(ru):
             return pd.Series([], dtype=float)
         ku, kv = (np.frombuffer(b"".join(map(bytes, r)), "<u2").reshape(-1, REGISTERS) for r in (ru, rv))
         return pd.Series(likeliest(ku, kv, nu.to_numpy(float), nv.to_numpy(float)))
 
+    @F.pandas_udf("double")
+    def estimate(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from released(of(*columns) for columns in batches)
+
     x = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
     y = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     near = pairs.join(x, "b").join(y, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fold, forget, labelled_sample, save, small_batches, table
+from tideline.llm.common import fold, forget, labelled_sample, released, save, small_batches, table
 
 #: Documented bound of the labelled sample: documents, whole texts.
 TRAIN_ROWS = 20_000
@@ -117,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, seed: int
     """Fit on a bounded labelled sample outside fold 2. Without labels every score is 1 (nothing is rejected)."""
 
     @F.pandas_udf("array<double>")
-    def stats(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_matrix(texts)))
+    def stats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(pd.Series(list(_matrix(texts))) for texts in batches)
 
     small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "quality", limit)
@@ -150,8 +150,8 @@ def quality_score(text: Column, model: QualityModel) -> Column:
     """``double`` in 0..1, six digits; null and empty texts get the score of a text without words."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(_matrix(texts)).round(6)) if len(texts) else pd.Series([], dtype=float)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(pd.Series(model.score(_matrix(texts)).round(6), dtype=float) for texts in batches)
 
     return score(text)
 
