@@ -158,7 +158,7 @@ def _sql_url(url: str) -> tuple[str, str, str]:
     path = rf"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
     query = rf"regexp_extract({url}, '(?s)^[^?#]*\?([^#]*)', 1)"
     for name in ("utm_[^=&]*", "ref", "fbclid", "gclid"):  # RE2 has no look-ahead: close each parameter with its own &
-        query = rf"regexp_replace('&' || {query} || '&', '&{name}(=[^&]*)?', '', 'g')".replace("'&' || ", "'&' || ")
+        query = rf"regexp_replace('&' || {query} || '&', '&{name}(=[^&]*)?', '', 'g')"
         query = rf"trim({query}, '&')"
     node = rf"CASE WHEN contains({url}, '://') THEN {host} || chr(10) || regexp_replace({path}, '/+$', '') || chr(10) || {query} END"
     return host, path, node
@@ -173,7 +173,7 @@ def _sql_fit(host: str, path: str, what: str) -> str:
 def _oracle() -> str:
     h, p, n = _sql_url("url")
     gh, gp, gn = _sql_url("link")
-    q = lambda s: s.replace("'", "''").replace(r"\b[^>]*>", r"\b[^>]*>")
+    q = lambda s: s.replace("'", "''")
     found = [
         f"regexp_extract(regexp_extract(html, '{q(CANONICAL)}', 0), '{q(HREF)}', 1)",
         f"regexp_extract(regexp_extract(html, '{q(OG_URL)}', 0), '{q(CONTENT)}', 1)",
