@@ -219,6 +219,41 @@ def test_arrays_strings_and_skips(order):
         plan.decode(b"\0")
 
 
+FLAT = "bool ok\nuint8 a\nstring name\nfloat64 x\nint16[3] three\nuint64 big\nstring label\nfloat32 y\nfloat64[0] none\nint32 k"
+
+
+def test_payloads_of_a_batch_decode_as_one_by_one():
+    import random
+
+    layouts = parse_schema(FLAT, "t/Flat")
+    rng = random.Random(3)
+    good = []
+    for i in range(300):
+        c = Cdr("<>"[i % 5 == 0]).put("?", i % 2).put("B", i % 250).text(["a", "bb", "", "ünï", "n" * (i % 90)][i % 5])
+        good.append(c.put("d", i / 7).put("h", i, -i, 3).put("Q", 2**63 + i).text("l" * (i % 3)).put("f", 0.5 * i).put("i", -i).bytes() + b"\0" * (i % 2))
+    bad = [b"", b"\0", b"\0\7\0\0" + b"\0" * 60, good[0][:-9], good[3][:7], b"\0\1\0\0\1\2\0\0\xff\xff\xff\xff" + b"\0" * 50]
+    mixed = good + bad
+    rng.shuffle(mixed)
+    for fields in (None, ["x", "label"], ["three", "ok", "big"], ["none", "k"]):
+        plan = Plan(layouts, "t/Flat", fields)
+        want, rows = [], []
+        for k, data in enumerate(mixed):
+            try:
+                rows.append(plan.decode(data))
+                want.append(k)
+            except DecodeError:
+                pass
+        kept, columns = plan.decode_all(mixed)
+        assert plan.flat and kept == want and len(want) == 300
+        assert {n: a.to_pylist() for n, a in columns.items()} == {n: a.to_pylist() for n, a in plan.columns(rows).items()}
+        assert {n: a.type for n, a in columns.items()} == {n: a.type for n, a in plan.columns(rows).items()}
+        with pytest.raises(DecodeError):
+            plan.decode_all(mixed, strict=True)
+        assert plan.decode_all([])[0] == [] and plan.decode_all(bad)[0] == []
+    few = Plan(parse_schema(ARRAYS, "geometry_msgs/msg/Thing"), "geometry_msgs/Thing", ["after"])
+    assert few.flat is None
+
+
 def test_spark_types_widen_unsigned():
     s = spark_type(parse_schema(ARRAYS, "geometry_msgs/Thing"), "geometry_msgs/Thing")
     assert s["after"].dataType == T.ShortType() and s["big"].dataType == T.DecimalType(20, 0)

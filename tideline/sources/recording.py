@@ -197,28 +197,21 @@ class RosbagReader(_ChunkReader):
 def decoded(messages: Iterable[tuple[int, int, int, bytes]], plan: Plan, strict: bool) -> Iterator[pa.RecordBatch]:
     """Batches of the times and decoded fields of (receive time, publish time, seq, payload). Payloads that don't fit
     are skipped, or raise if ``strict``."""
-    times: list[tuple[int, int, int]] = []
-    rows: list[list] = []
+    held: list[tuple[int, int, int, bytes]] = []
+    size = 0
 
     def batch() -> pa.RecordBatch:
-        keys = [pa.array([t[i] for t in times], pa.int64()) for i in range(3)]
-        columns = plan.columns(rows)
-        out = pa.RecordBatch.from_arrays([*keys, *columns.values()], names=[*(f.name for f in TIMES), *columns])
-        times.clear(), rows.clear()
-        return out
-
-    for log, published, seq, data in messages:
-        try:
-            row = plan.decode(data)
-        except DecodeError:
-            if strict:
-                raise
-            continue
-        rows.append(row)
-        times.append((log, published, seq))
-        if len(rows) >= BATCH:
+        kept, columns = plan.decode_all([m[3] for m in held], strict)
+        keys = [pa.array([held[k][i] for k in kept], pa.int64()) for i in range(3)]
+        return pa.RecordBatch.from_arrays([*keys, *columns.values()], names=[*(f.name for f in TIMES), *columns])
+
+    for message in messages:
+        held.append(message)
+        size += len(message[3])
+        if len(held) >= BATCH or size >= BATCH_BYTES:
             yield batch()
-    if rows:
+            held, size = [], 0
+    if held:
         yield batch()
 
 
