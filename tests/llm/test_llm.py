@@ -405,6 +405,21 @@ def test_order_of_rules_never_changes_the_verdict(spark):
     assert [x[0] for x in order] == ["always", "never"]
 
 
+def test_rules_stand_by_rejections_per_cost_among_what_is_left(spark):
+    based = rules.with_base(docs_of(spark)).where("not base_failed").coalesce(1).cache()
+    dear = "aggregate(sequence(1, 400), 0, (a, x) -> (a * 31 + x + length(text)) % 1000003) >= 0"
+    order = rules.order_rules(based, {"dear": f"{dear} and doc_id % 2 = 0", "cheap": "doc_id % 2 = 0", "other": "doc_id % 3 = 0"})
+    assert [x[0] for x in order][-1] == "dear" and order[-1][1] == 0  # all that it rejects is gone by then
+    cost = {x[0]: x[2] for x in order}
+    assert cost["dear"] > 2 * cost["cheap"]
+    based.unpersist()
+
+
+def test_the_sample_of_rules_has_no_limit(spark):
+    plan = rules.judge(docs_of(spark), sample_rows=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+
+
 # --- near duplicates -----------------------------------------------------------------------------------------
 
 
