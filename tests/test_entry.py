@@ -55,7 +55,7 @@ def test_recording_query_equals_its_sql(spark, name):
     assert_same(spark, recordings.QUERIES[name], recordings.ORACLES[name], SF)
 
 
-@pytest.mark.parametrize("name", ["match_by_time", "align_time", "interp_pose", "integrate", "unwrap", "cumulative_distance"])
+@pytest.mark.parametrize("name", ["match_by_time", "align_time", "interp_pose", "integrate", "unwrap", "cumulative_distance", "diff", "moving_average", "velocity_from_pose", "topic_rate", "message_gaps", "pose_error_path", "lowpass"])
 def test_no_table_is_one_task(spark, name):
     plan = telemetry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "_seg" in plan

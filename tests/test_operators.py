@@ -323,8 +323,17 @@ def test_running_operators_in_segments(spark):
         (lambda **k: ordered.with_integral(df, "y", "t", BY, order, **k), "integral"),
         (lambda **k: ordered.with_unwrapped(df.where("x is not null"), "a", BY, order, **k), "unwrapped"),
         (lambda **k: ordered.with_cumulative_distance(df, "p", BY, order, **k), "distance"),
+        (lambda **k: ordered.with_diff(df, "x", "t", BY, order, **k), "diff"),
+        (lambda **k: ordered.with_velocity(df, "p", "t", BY, order, **k), "velocity"),
+        (lambda **k: ordered.with_yaw_rate(df.withColumn("q", G.yaw_to_quat("y")), "q", "t", BY, order, **k), "yaw_rate"),
+        (lambda **k: ordered.with_moving_average(df, "y", 4, BY, order, **k), "moving_average"),
+        (lambda **k: ordered.with_moving_average(df, "y", 7, BY, order, **k | ({"chunk": 10} if k else {})), "moving_average"),
+        (lambda **k: ordered.with_pose_error(df, F.struct("x", "y", "a", F.col("a").alias("yaw")), F.struct("t", F.col("t").alias("x"), "y", F.col("a").alias("yaw")), "ref_path", BY, order, **k).select("i", "pose_error.*"), "along"),
     ):
-        assert np.allclose(np.array(values(run(), out), float), np.array(values(run(bounds=bounds), out), float), atol=1e-9), out
+        assert np.allclose(np.array(values(run(), out), float), np.array(values(run(bounds=bounds), out), float), atol=1e-9, equal_nan=True), out
+    for run in (lambda **k: summary.topic_rate(df, "t", BY, order, **k), lambda **k: summary.latency_chain(df, "t", BY, order, **k), lambda **k: summary.message_gaps(df, 2.0, "t", BY, order, **k)):
+        a, b = (sorted(run(**k).collect(), key=str) for k in ({}, {"bounds": bounds}))
+        assert len(a) == len(b) and all(x == pytest.approx(y) if isinstance(x, float) else x == y for r, s in zip(a, b) for x, y in zip(r, s))
 
 
 @pytest.mark.parametrize("by", [["k"], []])

@@ -15,19 +15,31 @@ from pyspark.sql import types as T
 
 from tideline.functions.geometry import TURN, along_cross, angle_diff, parts, pose_to_xyyaw, quat_to_yaw
 from tideline.functions.numeric import NAN, ColumnLike, col, dbl, running, safe_div, sequence
-from tideline.operators.segments import accumulated
+from tideline.operators.segments import accumulated, around, chunks
 
 Columns = Sequence[ColumnLike]
-#: Running sums take the least and greatest value of the first column of ``order`` (``segments.span``), a number, to work
+#: Rows of a sequence that a moving average takes in one task.
+CHUNK = 1 << 18
+#: Operators take the least and greatest value of the first column of ``order`` (``segments.span``), a number, to work
 #: in segments of it, so that a long sequence is many tasks; ``by`` and ``order`` are then names. None: a task a sequence.
 Bounds = tuple[float, float] | None
 
 
-def with_diff(df: DataFrame, x: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "diff") -> DataFrame:
+def neighbouring(df: DataFrame, by: Columns, order: Columns, bounds: Bounds, after: bool = False, **state: Column) -> tuple[DataFrame, dict[str, Column], dict[str, Column], list[str]]:
+    """(the frame, the states of the row before, if ``after`` those of the row after, columns to drop once these are used)."""
+    if bounds is None:
+        w = sequence(by, order)
+        return df, {n: F.lag(c).over(w) for n, c in state.items()}, {n: F.lead(c).over(w) for n, c in state.items()}, []
+    df = around(df, {"_row": F.struct(*[c.alias(n) for n, c in state.items()])}, by, order, bounds, strict=True, after=after)
+    before, behind = ({n: F.col(f"_row_{side}")[n] for n in state} for side in ("before", "after"))
+    return df, before, behind, ["_row_before", *(["_row_after"] if after else [])]
+
+
+def with_diff(df: DataFrame, x: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "diff", bounds: Bounds = None) -> DataFrame:
     """Backward difference quotient."""
-    w = sequence(by, order)
     x, t = dbl(x), dbl(t)
-    return df.withColumn(out, safe_div(x - F.lag(x).over(w), t - F.lag(t).over(w)))
+    df, was, _, extra = neighbouring(df, by, order, bounds, x=x, t=t)
+    return df.withColumn(out, safe_div(x - was["x"], t - was["t"])).drop(*extra)
 
 
 def with_integral(df: DataFrame, x: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "integral", bounds: Bounds = None) -> DataFrame:
@@ -39,13 +51,17 @@ def with_integral(df: DataFrame, x: ColumnLike, t: ColumnLike, by: Columns, orde
     return df.withColumn("_step", step).withColumn(out, F.sum("_step").over(running(by, order))).drop("_step")
 
 
-def with_moving_average(df: DataFrame, x: ColumnLike, window: int, by: Columns, order: Columns, out: str = "moving_average") -> DataFrame:
+def with_moving_average(df: DataFrame, x: ColumnLike, window: int, by: Columns, order: Columns, out: str = "moving_average", bounds: Bounds = None, chunk: int = CHUNK) -> DataFrame:
     """Centred mean over ``window`` rows (one more before than after if even); null unless all are there, NaN if one is NaN."""
     if window < 1:
         raise ValueError("window must be at least 1")
+    if bounds is not None:
+        df = chunks(df, by, order, bounds, max(chunk, window), window // 2)
+        by = [*by, "_chunk"]
     w = sequence(by, order).rowsBetween(-(window // 2), (window - 1) // 2)
     x = dbl(x)
-    return df.withColumn(out, F.when(F.count(x).over(w) == window, F.avg(x).over(w)))
+    df = df.withColumn(out, F.when(F.count(x).over(w) == window, F.avg(x).over(w)))
+    return df if bounds is None else df.where("_own").drop("_chunk", "_own")
 
 
 def _turn_step(a: Column, before: Column) -> Column:
@@ -77,24 +93,23 @@ def with_cumulative_distance(df: DataFrame, position: ColumnLike, by: Columns, o
     return df.withColumn("_step", step).withColumn(out, F.sum("_step").over(running(by, order))).drop("_step")
 
 
-def with_velocity(df: DataFrame, position: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "velocity") -> DataFrame:
+def with_velocity(df: DataFrame, position: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "velocity", bounds: Bounds = None) -> DataFrame:
     """Speed in the x-y plane since the row before."""
-    w, t = sequence(by, order), dbl(t)
+    t = dbl(t)
     x, y = parts(position, "x", "y")
-    return df.withColumn(out, safe_div(F.hypot(x - F.lag(x).over(w), y - F.lag(y).over(w)), t - F.lag(t).over(w)))
+    df, was, _, extra = neighbouring(df, by, order, bounds, x=x, y=y, t=t)
+    return df.withColumn(out, safe_div(F.hypot(x - was["x"], y - was["y"]), t - was["t"])).drop(*extra)
 
 
-def with_yaw_rate(df: DataFrame, orientation: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "yaw_rate") -> DataFrame:
+def with_yaw_rate(df: DataFrame, orientation: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "yaw_rate", bounds: Bounds = None) -> DataFrame:
     """Turn since the row before by the shorter way, per time. No running sum is needed for that."""
-    w, t = sequence(by, order), dbl(t)
-    yaw = quat_to_yaw(orientation)
-    return df.withColumn(out, safe_div(_turn_step(yaw, F.lag(yaw).over(w)), t - F.lag(t).over(w)))
+    t, yaw = dbl(t), quat_to_yaw(orientation)
+    df, was, _, extra = neighbouring(df, by, order, bounds, yaw=yaw, t=t)
+    return df.withColumn(out, safe_div(_turn_step(yaw, was["yaw"]), t - was["t"])).drop(*extra)
 
 
-def gradient(x: Column, by: Columns, order: Columns) -> Column:
+def gradient(x: Column, before: Column, after: Column) -> Column:
     """Central difference at unit spacing, one-sided at the ends, null for a single row."""
-    w = sequence(by, order)
-    before, after = F.lag(x).over(w), F.lead(x).over(w)
     return F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2.0)
 
 
@@ -115,23 +130,24 @@ def xyyaw(df: DataFrame, pose: ColumnLike | dict[str, float]) -> Column:
     raise TypeError(f"{kind.simpleString()} is no pose: it needs position and orientation, or x, y and yaw")
 
 
-def with_pose_error(df: DataFrame, actual: ColumnLike | dict, reference: ColumnLike | dict, frame: str, by: Columns = (), order: Columns = (), out: str = "pose_error") -> DataFrame:
+def with_pose_error(df: DataFrame, actual: ColumnLike | dict, reference: ColumnLike | dict, frame: str, by: Columns = (), order: Columns = (), out: str = "pose_error", bounds: Bounds = None) -> DataFrame:
     """``struct<along, cross, yaw>`` of two poses, in any form that :func:`xyyaw` takes.
 
     Frames: ``xy`` (axes as they are), ``ref_heading`` (turned by the reference's yaw), ``ref_path`` (turned by
     the tangent of the reference's path; needs ``by`` and ``order``).
     """
     (ax, ay, ayaw), (rx, ry, ryaw) = (parts(xyyaw(df, p), "x", "y", "yaw") for p in (actual, reference))
-    dx, dy = ax - rx, ay - ry
+    dx, dy, extra = ax - rx, ay - ry, []
     if frame == "xy":
         along, cross = dx, dy
     elif frame == "ref_heading":
         along, cross = along_cross(dx, dy, ryaw)
     elif frame == "ref_path":
-        along, cross = along_cross(dx, dy, F.atan2(gradient(ry, by, order), gradient(rx, by, order)))
+        df, was, then, extra = neighbouring(df, by, order, bounds, after=True, x=rx, y=ry)
+        along, cross = along_cross(dx, dy, F.atan2(gradient(ry, was["y"], then["y"]), gradient(rx, was["x"], then["x"])))
     else:
         raise ValueError(f"Unknown frame: {frame!r} (xy, ref_heading or ref_path)")
-    return df.withColumn(out, F.struct(along.alias("along"), cross.alias("cross"), angle_diff(ayaw, ryaw).alias("yaw")))
+    return df.withColumn(out, F.struct(along.alias("along"), cross.alias("cross"), angle_diff(ayaw, ryaw).alias("yaw"))).drop(*extra)
 
 
 def finite_or_nan(x: Column) -> Column:

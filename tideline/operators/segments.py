@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.numeric import with_aggregates
+
 Names = Sequence[str]
 SEGMENTS = 1024
 
@@ -44,8 +46,8 @@ def _across(edges: DataFrame, by: Names) -> tuple[DataFrame, Column, Column]:
     return edges, w.orderBy("_seg").rowsBetween(*frame), w.orderBy(F.desc("_seg")).rowsBetween(*frame)
 
 
-def around(df: DataFrame, values: dict[str, Column], by: Names, order: Names, bounds: tuple[float, float], strict: bool = False) -> DataFrame:
-    """``df`` and, for each value, ``<name>_before`` and ``<name>_after``: the last one that isn't null at or before a row
+def around(df: DataFrame, values: dict[str, Column], by: Names, order: Names, bounds: tuple[float, float], strict: bool = False, after: bool = True) -> DataFrame:
+    """``df`` and, for each value, ``<name>_before`` and, if ``after``, ``<name>_after``: the last one that isn't null at or before a row
     and the first at or after it (``strict``: without the row itself), in the order of ``order``, a time and what makes
     the order total. ``bounds`` are those of the time (:func:`span`)."""
     d = df.withColumns({"_seg": segment(F.col(order[0]).cast("double"), *bounds), **{f"_v_{n}": v for n, v in values.items()}})
@@ -62,9 +64,10 @@ def around(df: DataFrame, values: dict[str, Column], by: Names, order: Names, bo
     w, frame = Window.partitionBy(*by, "_seg"), (Window.unboundedPreceding, -1 if strict else Window.currentRow)
     up = w.orderBy(*order).rowsBetween(*frame)
     down = w.orderBy(*[F.desc(c) for c in order]).rowsBetween(*frame)  # a frame that ends at the last row would be read anew for every row
-    local = {f"{n}_before": F.last(f"_v_{n}", ignorenulls=True).over(up) for n in values} | {f"{n}_after": F.last(f"_v_{n}", ignorenulls=True).over(down) for n in values}
+    sides = [("before", up, "p"), ("after", down, "n")][: 1 + after]
+    local = {f"{n}_{side}": F.last(f"_v_{n}", ignorenulls=True).over(w_) for n in values for side, w_, _ in sides}
     d = _joined(d.withColumns(local), edges, by, [f"_{x}_{n}" for n in values for x in "pn"])
-    full = {f"{n}_{side}": F.coalesce(f"{n}_{side}", f"_{x}_{n}") for n in values for side, x in (("before", "p"), ("after", "n"))}
+    full = {f"{n}_{side}": F.coalesce(f"{n}_{side}", f"_{x}_{n}") for n in values for side, _, x in sides}
     return d.withColumns(full).drop("_seg", *[f"_{x}_{n}" for n in values for x in "vpn"])
 
 
@@ -79,6 +82,17 @@ def running_sums(df: DataFrame, values: dict[str, Column], by: Names, order: Nam
     return d.withColumns(total).drop("_seg", *[f"_{x}_{n}" for n in values for x in "vp"])
 
 
+def chunks(df: DataFrame, by: Names, order: Names, bounds: tuple[float, float], chunk: int, beside: int) -> DataFrame:
+    """``df`` in chunks of ``chunk`` rows of a sequence, each with ``beside`` rows (fewer than a chunk) of its neighbours:
+    ``_chunk``, and ``_own``, which is false for the neighbours' rows."""
+    rows = running_sums(df, {"_i": F.lit(1).cast("long")}, by, order, bounds).withColumn("_i", F.col("_i") - 1)
+    first, last = (F.floor((F.col("_i") + F.lit(d)) / chunk) for d in (-beside, beside))
+    rows = rows.withColumn("_chunk", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    rows = rows.withColumn("_own", F.col("_chunk") == F.floor(F.col("_i") / chunk)).drop("_i")
+    # A chunk that lies wholly behind the end holds a neighbour's rows only.
+    return with_aggregates(rows, [*by, "_chunk"], _any=F.max("_own")).where("_any").drop("_any")
+
+
 def accumulated(df: DataFrame, state: Column, step: Callable[[Column, Column], Column], by: Names, order: Names, bounds: tuple[float, float], out: str) -> DataFrame:
     """``df`` and, under ``out``, the sum of ``step(state before, state)`` over the rows so far: 0 at the first. Steps that
     are null count 0. ``state`` is a struct, so that the row before is told from none."""

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions.numeric import sequence, with_aggregates
-from tideline.operators.segments import running_sums
+from tideline.functions.numeric import sequence
+from tideline.operators.segments import chunks
 
 Names = Sequence[str]
 #: Samples that a filter takes in one matrix product, and rows of a sequence that are filtered in one task.
@@ -172,13 +172,7 @@ def lowpass(df: DataFrame, x: str, cutoff: float, fs: float, by: Names, order: N
         return keyed.groupBy(*by).applyInPandas(kernel, schema)
     beside = settling(cutoff, fs, degree)
     chunk = max(chunk, 2 * beside)
-    rows = running_sums(keyed, {"_i": F.lit(1).cast("long")}, by, [f"_o{i}" for i in range(len(order))], bounds).withColumn("_i", F.col("_i") - 1)
-    # A row is read by its own chunk, and by a neighbour whose border is near.
-    first, last = (F.floor((F.col("_i") + F.lit(d)) / chunk) for d in (-beside, beside))
-    rows = rows.withColumn("_chunk", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
-    rows = rows.withColumn("_own", F.col("_chunk") == F.floor(F.col("_i") / chunk))
-    # A chunk that lies wholly behind the end holds a neighbour's rows only.
-    rows = with_aggregates(rows, [*by, "_chunk"], _any=F.max("_own")).where("_any").drop("_any", "_i")
+    rows = chunks(keyed, by, [f"_o{i}" for i in range(len(order))], bounds, chunk, beside)
     return rows.groupBy(*by, "_chunk").applyInPandas(kernel, schema)
 
 

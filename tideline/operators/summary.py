@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.numeric import NAN, ColumnLike, col, dbl, nan_min, sequence
+from tideline.operators.ordered import Bounds, neighbouring
 from tideline.operators.segments import percentiles
 
 Columns = Sequence[ColumnLike]
@@ -83,11 +84,12 @@ def stepinfo(df: DataFrame, actual: ColumnLike, target: ColumnLike, t: ColumnLik
     )
 
 
-def _steps(df: DataFrame, t: ColumnLike, by: Columns, order: Columns) -> tuple[DataFrame, list[str]]:
+def _steps(df: DataFrame, t: ColumnLike, by: Columns, order: Columns, bounds: Bounds) -> tuple[DataFrame, list[str]]:
     keys = [c if isinstance(c, str) else f"_k{i}" for i, c in enumerate(by)]
-    w = sequence(by, order)
-    rows = df.select(*[col(c).alias(k) for c, k in zip(by, keys, strict=True)], dbl(t).alias("t"), F.row_number().over(w).alias("n"), F.lag(dbl(t)).over(w).alias("before"))
-    return rows.withColumn("dt", F.col("t") - F.col("before")), keys
+    places = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(*[col(c).alias(k) for c, k in zip(by, keys, strict=True)], dbl(t).alias("t"), *[col(o).alias(p) for o, p in zip(order, places, strict=True)])
+    rows, was, _, _ = neighbouring(rows, keys, places, bounds, t=F.col("t"))
+    return rows.select(*keys, "t", F.struct(*places).alias("n"), was["t"].alias("before"), (F.col("t") - was["t"]).alias("dt")), keys
 
 
 def _rate(count: Column) -> dict[str, Column]:
@@ -98,26 +100,26 @@ def _rate(count: Column) -> dict[str, Column]:
     return {"mean_hz": zero(hz), "std_hz": zero(std_hz), "mean_dt": zero(mean), "std_dt": zero(std), "min_dt": zero(F.min("dt")), "max_dt": zero(F.max("dt")), "duration": zero(F.max_by("t", "n") - F.min_by("t", "n"))}
 
 
-def topic_rate(df: DataFrame, t: ColumnLike, by: Columns, order: Columns) -> DataFrame:
+def topic_rate(df: DataFrame, t: ColumnLike, by: Columns, order: Columns, bounds: Bounds = None) -> DataFrame:
     """``count, mean_hz, std_hz, min_dt, max_dt, duration``; zeros for fewer than two rows. std_hz is
     std(dt) / mean(dt) ** 2."""
-    rows, keys = _steps(df, t, by, order)
+    rows, keys = _steps(df, t, by, order, bounds)
     r = _rate(F.count("*"))
     return rows.groupBy(*keys).agg(F.count("*").alias("count"), *[r[k].alias(k) for k in ("mean_hz", "std_hz", "min_dt", "max_dt", "duration")])
 
 
-def latency_chain(df: DataFrame, t: ColumnLike, by: Columns, order: Columns) -> DataFrame:
+def latency_chain(df: DataFrame, t: ColumnLike, by: Columns, order: Columns, bounds: Bounds = None) -> DataFrame:
     """``mean_hz, mean_dt, std_dt, min_dt, max_dt`` of each topic, in order of the topics' names."""
-    rows, keys = _steps(df, t, by, order)
+    rows, keys = _steps(df, t, by, order, bounds)
     r = _rate(F.count("*"))
     return rows.groupBy(*keys).agg(*[r[k].alias(k) for k in ("mean_hz", "mean_dt", "std_dt", "min_dt", "max_dt")]).orderBy(*keys)
 
 
-def message_gaps(df: DataFrame, expected_rate: float, t: ColumnLike, by: Columns, order: Columns) -> DataFrame:
+def message_gaps(df: DataFrame, expected_rate: float, t: ColumnLike, by: Columns, order: Columns, bounds: Bounds = None) -> DataFrame:
     """``start, end, duration, expected_count`` of each step longer than 1.5 periods; counts round half to even."""
     if not expected_rate > 0:
         raise ValueError("expected_rate must be positive")
-    rows, keys = _steps(df, t, by, order)
+    rows, keys = _steps(df, t, by, order, bounds)
     gaps = rows.where(F.col("dt") > 1.5 / expected_rate)
     count = F.rint(F.col("dt") * F.lit(float(expected_rate))).cast("long")
     return gaps.select(*keys, F.col("before").alias("start"), F.col("t").alias("end"), F.col("dt").alias("duration"), count.alias("expected_count"))

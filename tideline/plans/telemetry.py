@@ -51,6 +51,11 @@ def query(sql: str | None = None):
     return add
 
 
+def bounds(e: DataFrame) -> tuple[float, float]:
+    """The span of the order's first column: operators then work in segments of it."""
+    return span(e.select("us"))
+
+
 def rounded(df: DataFrame, *keep: str) -> DataFrame:
     """Doubles to six digits, in the order given first."""
     doubles = {n for n, k in df.dtypes if k == "double"}
@@ -64,19 +69,19 @@ STEPS = f", s AS (SELECT *, t - lag(t) OVER {W} AS dt FROM ev)"
  CASE WHEN count(*) < 2 THEN 0 ELSE round(stddev_pop(dt) / (avg(dt) * avg(dt)), 6) END AS std_hz, coalesce(round(min(dt), 6), 0) AS min_dt,
  coalesce(round(max(dt), 6), 0) AS max_dt, round(max(t) - min(t), 6) AS duration FROM s GROUP BY event_type""")
 def topic_rate(e: DataFrame) -> DataFrame:
-    return rounded(summary.topic_rate(e, "t", BY, ORDER))
+    return rounded(summary.topic_rate(e, "t", BY, ORDER, bounds(e)))
 
 
 @query(STEPS + """ SELECT event_type, CASE WHEN count(*) < 2 THEN 0 ELSE round(1 / avg(dt), 6) END AS mean_hz, coalesce(round(avg(dt), 6), 0) AS mean_dt,
  coalesce(round(stddev_pop(dt), 6), 0) AS std_dt, coalesce(round(min(dt), 6), 0) AS min_dt, coalesce(round(max(dt), 6), 0) AS max_dt FROM s GROUP BY event_type""")
 def latency_chain(e: DataFrame) -> DataFrame:
-    return rounded(summary.latency_chain(e, "t", BY, ORDER))
+    return rounded(summary.latency_chain(e, "t", BY, ORDER, bounds(e)))
 
 
 @query(STEPS + """ SELECT event_type, round(t - dt, 6) AS start, round(t, 6) AS "end", round(dt, 6) AS duration, round_even(dt * 0.0005, 0)::BIGINT AS expected_count
  FROM s WHERE dt > 1.5 / 0.0005::DOUBLE""")
 def message_gaps(e: DataFrame) -> DataFrame:
-    return rounded(summary.message_gaps(e, 0.0005, "t", BY, ORDER))
+    return rounded(summary.message_gaps(e, 0.0005, "t", BY, ORDER, bounds(e)))
 
 
 @query("""SELECT event_type, round(avg(d), 6) AS mean, round(max(d), 6) AS max, round(stddev_pop(d), 6) AS std, round(median(d), 6) AS median
@@ -106,19 +111,19 @@ def tracking_error(e: DataFrame) -> DataFrame:
 @query(f"""SELECT event_id, round(CASE WHEN dt = 0 THEN CASE WHEN dx = 0 THEN 'NaN'::DOUBLE WHEN dx > 0 THEN 'Infinity'::DOUBLE ELSE '-Infinity'::DOUBLE END ELSE dx / dt END, 6) + 0.0 AS diff
  FROM (SELECT event_id, value - lag(value) OVER {W} AS dx, t - lag(t) OVER {W} AS dt FROM ev)""")
 def diff(e: DataFrame) -> DataFrame:
-    return ordered.with_diff(e, "value", "t", BY, ORDER).select("event_id", r6("diff").alias("diff"))
+    return ordered.with_diff(e, "value", "t", BY, ORDER, bounds=bounds(e)).select("event_id", r6("diff").alias("diff"))
 
 
 @query(f""", s AS (SELECT *, coalesce(0.5::DOUBLE * (value + lag(value) OVER {W}) * (t - lag(t) OVER {W}), 0) AS a FROM ev)
  SELECT event_id, round(sum(a) OVER {RUN}, 1) AS integral FROM s""")
 def integrate(e: DataFrame) -> DataFrame:
-    return ordered.with_integral(e, "value", "t", BY, ORDER, bounds=span(e.select("us"))).select("event_id", F.round("integral", 1).alias("integral"))
+    return ordered.with_integral(e, "value", "t", BY, ORDER, bounds=bounds(e)).select("event_id", F.round("integral", 1).alias("integral"))
 
 
 @query(f"""SELECT event_id, CASE WHEN count(*) OVER w = 10 THEN round(avg(value) OVER w, 6) END AS moving_average
  FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY us, event_id ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING)""")
 def moving_average(e: DataFrame) -> DataFrame:
-    return ordered.with_moving_average(e, "value", 10, BY, ORDER).select("event_id", r6("moving_average").alias("moving_average"))
+    return ordered.with_moving_average(e, "value", 10, BY, ORDER, bounds=bounds(e)).select("event_id", r6("moving_average").alias("moving_average"))
 
 
 PI2 = "(2 * pi())"
@@ -130,7 +135,7 @@ WRAP = f"(({{x}}) + pi() - {PI2} * floor((({{x}}) + pi()) / {PI2}) - pi())"
  SELECT event_id, round(a + sum(c) OVER {RUN}, 6) AS unwrapped FROM c""")
 def unwrap(e: DataFrame) -> DataFrame:
     a = e.withColumn("a", F.col("value") * 0.7 % F.lit(G.TURN))
-    return ordered.with_unwrapped(a, "a", BY, ORDER, bounds=span(e.select("us"))).select("event_id", r6("unwrapped").alias("unwrapped"))
+    return ordered.with_unwrapped(a, "a", BY, ORDER, bounds=bounds(e)).select("event_id", r6("unwrapped").alias("unwrapped"))
 
 
 @query(f"""SELECT event_id, round({WRAP.format(x="value * 0.7::DOUBLE")}, 6) + 0.0 AS normalized, round({WRAP.format(x="value * 0.7::DOUBLE - user_id")}, 6) + 0.0 AS difference FROM ev""")
@@ -188,7 +193,7 @@ def _errors(e: DataFrame, frame: str) -> DataFrame:
     actual = F.struct(F.col("value").alias("x"), F.col("user_id").cast("double").alias("y"), (F.col("value") % 6.0 - 3.0).alias("yaw"))
     reference = F.struct((F.col("value") % 7.0).alias("x"), (F.col("value") % 5.0).alias("y"), (F.col("value") % 4.0 - 2.0).alias("yaw"))
     p = e.withColumns({"a": actual, "r": reference})
-    p = ordered.with_pose_error(p, "a", "r", frame, BY, ORDER)
+    p = ordered.with_pose_error(p, "a", "r", frame, BY, ORDER, bounds=bounds(e) if frame == "ref_path" else None)
     return rounded(p.select("event_id", "pose_error.*"))
 
 
@@ -242,18 +247,18 @@ HYPOT = f"sqrt((value - lag(value) OVER {W}) * (value - lag(value) OVER {W}) + (
 
 @query(f", s AS (SELECT *, coalesce({HYPOT}, 0) AS d FROM ev) SELECT event_id, round(sum(d) OVER {RUN}, 3) AS distance FROM s")
 def cumulative_distance(e: DataFrame) -> DataFrame:
-    return ordered.with_cumulative_distance(_pose(e), "pose.position", BY, ORDER, bounds=span(e.select("us"))).select("event_id", F.round("distance", 3).alias("distance"))
+    return ordered.with_cumulative_distance(_pose(e), "pose.position", BY, ORDER, bounds=bounds(e)).select("event_id", F.round("distance", 3).alias("distance"))
 
 
 @query(f"SELECT event_id, round({HYPOT} / nullif(t - lag(t) OVER {W}, 0), 6) AS velocity FROM ev")
 def velocity_from_pose(e: DataFrame) -> DataFrame:
-    return ordered.with_velocity(_pose(e), "pose.position", "t", BY, ORDER).select("event_id", r6("velocity").alias("velocity"))
+    return ordered.with_velocity(_pose(e), "pose.position", "t", BY, ORDER, bounds=bounds(e)).select("event_id", r6("velocity").alias("velocity"))
 
 
 @query(f""", y AS (SELECT *, {YAW} AS y, lag({YAW}) OVER {W} AS b, t - lag(t) OVER {W} AS dt FROM ev)
  SELECT event_id, round(CASE WHEN abs(y - b) < pi() THEN y - b WHEN {WRAP.format(x="y - b")} = -pi() AND y > b THEN pi() ELSE {WRAP.format(x="y - b")} END / nullif(dt, 0), 6) + 0.0 AS yaw_rate FROM y""")
 def yaw_rate_from_pose(e: DataFrame) -> DataFrame:
-    return ordered.with_yaw_rate(_pose(e), "pose.orientation", "t", BY, ORDER).select("event_id", r6("yaw_rate").alias("yaw_rate"))
+    return ordered.with_yaw_rate(_pose(e), "pose.orientation", "t", BY, ORDER, bounds=bounds(e)).select("event_id", r6("yaw_rate").alias("yaw_rate"))
 
 
 def _stamped(e: DataFrame) -> DataFrame:
@@ -400,7 +405,7 @@ def delay_estimate(e: DataFrame) -> DataFrame:
        JOIN f b ON b.event_type = a.event_type AND b.j = a.at GROUP BY ALL)
  SELECT event_id, round(v, 6) + 0.0 AS lowpass FROM i JOIN g ON i.event_type = g.event_type AND i.i = g.j""")
 def lowpass(e: DataFrame) -> DataFrame:
-    return spectral.lowpass(e, "value", 5.0, 100.0, BY, ORDER, bounds=span(e.select("us"))).select("event_id", r6("lowpass").alias("lowpass"))
+    return spectral.lowpass(e, "value", 5.0, 100.0, BY, ORDER, bounds=bounds(e)).select("event_id", r6("lowpass").alias("lowpass"))
 
 
 @query("""SELECT event_type, round(t, 6) AS t, label, round(v, 6) AS value FROM (SELECT event_type, t, 'value' AS label, value AS v FROM ev UNION ALL SELECT event_type, t, 'user', user_id FROM ev)""")
