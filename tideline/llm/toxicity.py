@@ -10,6 +10,7 @@ gradient steps, so features that say nothing weigh exactly nothing and long clea
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import forget, labelled_sample, save, small_batches, table
+from tideline.llm.common import forget, labelled_sample, released, save, small_batches, table
 
 #: Documented bound of the training sample: labelled documents, whole texts.
 TRAIN_ROWS = 12_000
@@ -52,8 +53,8 @@ def _hashes(text: str) -> Column:
     """The sorted hashes of the text's features as bytes, so that the driver holds neither texts nor words."""
 
     @F.pandas_udf("binary")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.sort(hashed(list(features(t)))).tobytes() for t in texts], dtype=object)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(pd.Series([np.sort(hashed(list(features(t)))).tobytes() for t in texts], dtype=object) for texts in batches)
 
     return found(F.col(text))
 
@@ -128,30 +129,57 @@ def severity(rows: list[np.ndarray], toxic: np.ndarray, n_features: int) -> np.n
     return np.where(toxic > 0, 1 + (hits >= 2) + (hits >= 4), 0)
 
 
+def _counted(sample: DataFrame) -> DataFrame:
+    """``hash, n, clean``: rows of the sample that hold a feature, equal texts MIN_DOCS times at most, and distinct clean
+    texts among them. Summed up within batches before the shuffle."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            sizes = f["found"].str.len().to_numpy() // 8
+            number, at = np.unique(np.frombuffer(b"".join(f["found"]), np.int64), return_inverse=True)
+            n, clean = (np.bincount(at, np.repeat(x.to_numpy(), sizes), len(number)).astype(np.int64) for x in (f["times"], 1 - f["toxic"]))
+            yield pd.DataFrame({"hash": number, "n": n, "clean": clean})
+
+    rows = sample.select("found", "times", "toxic").mapInPandas(lambda f: released(each(f)), "hash long, n long, clean long")
+    return rows.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("clean").alias("clean"))
+
+
+def _numbered(used: np.ndarray) -> Column:
+    """The places in ``used`` (sorted) of the features that stand there, as int32 bytes."""
+
+    def of(packed: bytes) -> bytes:
+        x = np.sort(np.frombuffer(packed, np.int64))
+        at = np.searchsorted(used, x)
+        return at[(at < len(used)) & (used[np.minimum(at, len(used) - 1)] == x)].astype("<i4").tobytes() if len(used) else b""
+
+    @F.pandas_udf("binary")
+    def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(pd.Series([of(x) for x in found], dtype=object) for found in batches)
+
+    return places("found")
+
+
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> OrdinalModel:
-    """Fit on a bounded labelled sample. Without both toxic and clean labels nothing is ever toxic."""
+    """Fit on a bounded labelled sample. Without both toxic and clean labels nothing is ever toxic.
+
+    Features are counted in tasks; the driver gets those that enough texts hold, and their numbers by text.
+    """
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, "toxic", limit)
-    sample = save(rows.groupBy("text").agg(F.avg((F.col("label") > 0).cast("int")).alias("share"), F.count("*").alias("times")), "toxic")
-    rows = sample.select(F.md5(F.col("text").cast("binary")).alias("key"), "share", "times", _hashes("text").alias("found")).toPandas().sort_values("key")
-    toxic = (rows["share"].to_numpy() >= 0.5).astype(int)  # the label of most copies
-    times = rows["times"].to_numpy().clip(max=MIN_DOCS)
-    if not len(rows) or toxic.min() == toxic.max():
+    rows = labelled_sample(docs, labels, "toxic", limit).groupBy("text").agg(F.avg((F.col("label") > 0).cast("int")).alias("share"), F.count("*").alias("times"))
+    toxic = (F.col("share") >= 0.5).cast("int").alias("toxic")  # the label of most copies
+    sample = save(rows.select("text", F.md5(F.col("text").cast("binary")).alias("key"), toxic, F.least("times", F.lit(MIN_DOCS)).alias("times"), _hashes("text").alias("found")), "toxic")
+    seen = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).first()
+    if not seen["n"] or seen["toxic"] in (0, seen["n"]):
+        forget(sample)
         return OrdinalModel({}, np.full(GRADES - 1, 50.0))
-    lengths = rows["found"].str.len().to_numpy() // 8
-    number, at = np.unique(np.frombuffer(b"".join(rows["found"]), np.uint64), return_inverse=True)
-    del rows
-    counts = np.bincount(at, np.repeat(times, lengths), len(number))
-    clean = np.bincount(at, np.repeat(1 - toxic, lengths), len(number))
-    used = (counts >= MIN_DOCS) & (clean <= max(MIN_DOCS, MAX_SHARE * (1 - toxic).sum()))
-    place = (np.cumsum(used) - 1).astype(np.int32)
-    found = [place[r[used[r]]] for r in np.split(at, np.cumsum(lengths)[:-1])]
-    del at
-    found = [r for r, n in zip(found, times, strict=True) for _ in range(n)]
-    toxic = np.repeat(toxic, times)
-    number = number[used]
-    w, theta = fit_ordinal(found, severity(found, toxic, len(number)), len(number))
-    weight = {int(number[i]): float(w[i]) for i in np.flatnonzero(w)}
+    common = max(MIN_DOCS, MAX_SHARE * (seen["n"] - seen["toxic"]))
+    used = np.sort(_counted(sample).where((F.col("n") >= MIN_DOCS) & (F.col("clean") <= common)).select("hash").toPandas()["hash"].to_numpy(np.int64))
+    rows = sample.select("key", "toxic", "times", _numbered(used).alias("at")).toPandas().sort_values("key")
+    times = rows["times"].to_numpy()
+    found = [np.frombuffer(x, "<i4") for x, n in zip(rows["at"], times, strict=True) for _ in range(n)]
+    toxic = np.repeat(rows["toxic"].to_numpy(), times)
+    w, theta = fit_ordinal(found, severity(found, toxic, len(used)), len(used))
+    weight = {int(used.view(np.uint64)[i]): float(w[i]) for i in np.flatnonzero(w)}
     named = sample.select(F.explode(_named("text", np.array(list(weight), np.uint64))).alias("name")).distinct().toPandas()["name"].tolist()
     forget(sample)
     return OrdinalModel({x: weight[int(h)] for x, h in sorted(zip(named, hashed(named), strict=True))}, theta)
@@ -160,12 +188,15 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Ordina
 def graded(text: Column, model: OrdinalModel) -> Column:
     """``struct<severity: double, p_toxic: double, grade: int>``: expected grade, P(grade >= 1), likeliest grade."""
 
-    @F.pandas_udf("severity double, p_toxic double, grade int")
-    def grade(texts: pd.Series) -> pd.DataFrame:
+    def of(texts: pd.Series) -> pd.DataFrame:
         p = model.at_least(np.array([model.score(t) for t in texts], dtype=float))
         each = -np.diff(np.hstack([np.ones((len(p), 1)), p, np.zeros((len(p), 1))]), axis=1)
         return pd.DataFrame({"severity": p.sum(1).round(6), "p_toxic": p[:, 0].round(6), "grade": each.argmax(1).astype("int32")})
 
+    @F.pandas_udf("severity double, p_toxic double, grade int")
+    def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(map(of, batches))
+
     return grade(text)
 
 
