@@ -70,6 +70,15 @@ def test_runs_of_one_character(c):
         assert CODEC.encode(c * n) == theirs(c * n)
 
 
+def test_words_of_all_lengths_beside_each_other():
+    rng = random.Random(4)
+    letters = "aeiourstn" + "漢字仮名交文" + "éß"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in [*range(1, 120), *[300] * 40, 1000, 5000, 40_000]]
+    for chunk in (texts, texts[:5], texts[-1:], texts[100:]):
+        text = " ".join(chunk)
+        assert CODEC.encode(text) == theirs(text)
+
+
 def merged(word, merges):
     """Plain BPE: merge the first pair of the least rank, everywhere from the left, until none is left."""
     rank = {m[:2]: (i, m[2]) for i, m in enumerate(merges)}

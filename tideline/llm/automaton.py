@@ -33,8 +33,9 @@ import regex
 #: GPT-2's published pre-split pattern, with white space spelled out; fixed values.
 SPACES = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
-#: Bytes of a word up to which it is encoded beside others, words of one such step, and characters of a run of text.
-WIDE, WORDS, RUN = 64, 1 << 14, 1 << 21
+#: Words are encoded beside others if they are up to WIDE bytes long, or if FEW are as long; words, and words times
+#: bytes, that are encoded together; characters of a run of text.
+WIDE, FEW, WORDS, CELLS, RUN = 64, 32, 1 << 14, 1 << 20, 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -209,15 +210,19 @@ class Automaton:
         """The same of the words that stand at ``begin`` in ``raw``."""
         order = np.argsort(-size, kind="stable")
         count, parts = np.zeros(len(size), np.int64), []
-        long = int((size > WIDE).sum())
+        # Words far longer than the others are encoded alone: a step with few words costs as much as one with many.
+        limit = min(CELLS // FEW, max(WIDE, int(size[order[FEW - 1]]) if len(size) >= FEW else 0))
+        long = int((size > limit).sum())
         for i in order[:long]:
             ids = self._long(raw[begin[i] : begin[i] + size[i]].tobytes())
             count[i] = len(ids)
             parts.append(ids)
-        for at in range(long, len(size), WORDS):
-            group = order[at : at + WORDS]
+        at = long
+        while at < len(size):
+            group = order[at : at + min(WORDS, CELLS // (int(size[order[at]]) + 1))]
             ids, count[group] = self._group(raw, begin[group], size[group])
             parts.append(ids)
+            at += len(group)
         # From the order by size back to that of the words.
         ids, first = np.concatenate([*parts, np.empty(0, np.int32)]), np.zeros(len(size), np.int64)
         first[order] = np.cumsum(count[order]) - count[order]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.automaton import Codec
-from tideline.llm.common import released, small_batches, table
+from tideline.llm.common import give_back, released, small_batches, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,7 +25,9 @@ TOKENIZER = "byte_bpe_50k.json"
 @functools.lru_cache(maxsize=1)
 def codec(path: str) -> Codec:
     """The compiled automaton of a Python worker: tables of fixed size (about 40 MB), whatever it has read."""
-    return Codec(path)
+    made = Codec(path)
+    give_back()
+    return made
 
 
 def encoded(text: Column, path: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tideline.shared import delete_on_exit, shared_dir
 
 #: Bytes of texts in one Arrow batch.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,9 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     delete_on_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
 def fresh(name: str, df: DataFrame) -> str:
@@ -43,10 +45,8 @@ def fresh(name: str, df: DataFrame) -> str:
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`save` that nothing reads any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -57,15 +57,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Give memory that the worker holds but doesn't use back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def released(batches: Iterator) -> Iterator:
-    """The batches; then the worker, which may stay idle beside other ones, gives the memory they took back to the system."""
-    try:
-        yield from batches
-    finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-        if trim:
-            trim(0)
+    """The batches. After each the worker, which may stay idle beside other ones, gives back the memory that it took."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
 
 
 def fold(doc_id: str | Column) -> Column:
