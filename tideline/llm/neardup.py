@@ -15,7 +15,8 @@ First the least node of each bucket is compared with the others, which settles m
 still hold several components are finished: those of up to SMALL nodes by the pairs that lie in different
 components, larger ones in cells of BLOCK x BLOCK nodes, in which one matrix product gives the sizes of all
 intersections and only the links that join components leave. So every pair of a bucket is linked, implied by
-links, or tested, and no large bucket becomes rows of pairs.
+links, or tested, and no large bucket becomes rows of pairs. A component that fills blocks has blocks of its own, which
+meet those of other components only: a bucket with one large group costs in proportion to it.
 
 Null ids take no part (component null, kept). Rows that share an id are one node with the links of each.
 Documents without words or with null text have the empty set: linked with nothing, kept.
@@ -30,6 +31,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.llm.common import forget, fresh, released, save, small_batches, table
@@ -308,8 +310,8 @@ def linked_pairs(sets: list[np.ndarray], parts: np.ndarray, left: np.ndarray, ri
 
 
 def _in_cells(large: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between components of the members (``bucket, node, c, size, shingles``) of large buckets. A cell
-    takes two blocks of a bounded number of nodes and, in the mean, of shingles, so long texts make more cells."""
+    """Links (a, b) between components of the members (``bucket, node, n, c``) of large buckets. A cell takes two blocks of
+    a bounded number of nodes and, in the mean, of shingles, so long texts make more cells."""
 
     def cell(f: pd.DataFrame) -> pd.DataFrame:
         i, j = int(f["i"].iloc[0]), int(f["j"].iloc[0])
@@ -320,13 +322,32 @@ def _in_cells(large: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
         return pd.DataFrame({"a": [max(node[x], node[y]) for x, y in found], "b": [min(node[x], node[y]) for x, y in found]}, dtype="int64")
 
     full = _sets(docs, large.select("node").distinct(), width)
-    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    rows = large.select("bucket", "node", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = _blocks(large)
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda o: (o < F.col("base")) | (o >= F.col("base") + F.col("alone"))))
     rows = rows.withColumn("other", other).select("bucket", "node", "c", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return rows.join(full, "node").groupBy("bucket", "i", "j").applyInPandas(cell, "a long, b long").distinct()
 
 
+def _blocks(large: DataFrame) -> DataFrame:
+    """``bucket, node, c, block, total, base, alone`` of the members (``bucket, node, n, c``) of large buckets, in blocks
+    numbered from 0 to ``total`` - 1. A component that fills blocks has some of its own, ``alone`` of them from ``base``
+    on, which needn't meet each other; the members of smaller ones share blocks (``alone`` 0)."""
+    need = lambda size, shingles: F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    parts = large.groupBy("bucket", "c").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    parts = parts.withColumn("big", (F.col("size") > BLOCK / 2) | (F.col("shingles") > BLOCK_SHINGLES / 2))
+    big = parts.where("big").select("bucket", "c", need(F.col("size"), F.col("shingles")).alias("alone"))
+    before = W.partitionBy("bucket").orderBy("c").rowsBetween(W.unboundedPreceding, -1)  # a row for each that fills blocks
+    big = big.withColumn("base", F.coalesce(F.sum("alone").over(before), F.lit(0)).cast("int"))
+    sums = parts.groupBy("bucket").agg(
+        F.coalesce(F.sum(F.when(F.col("big"), need(F.col("size"), F.col("shingles")))), F.lit(0)).cast("int").alias("own"),
+        F.coalesce(need(F.sum(F.when(~F.col("big"), F.col("size"))), F.sum(F.when(~F.col("big"), F.col("shingles")))), F.lit(0)).alias("common"),
+    )
+    rows = large.select("bucket", "node", "c").join(big, ["bucket", "c"], "left").join(sums, "bucket")
+    lot = F.xxhash64("node")
+    block = F.when(F.col("alone").isNotNull(), F.col("base") + F.pmod(lot, F.col("alone"))).otherwise(F.col("own") + F.pmod(lot, F.col("common")))
+    return rows.select("bucket", "node", "c", block.cast("int").alias("block"), (F.col("own") + F.col("common")).alias("total"), F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row; see the module's text for all cases."""
     small_batches(docs.sparkSession)
@@ -348,7 +369,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component = connected_components(links)
 
     mine = members.join(component, "node", "left").select("bucket", "node", "n", "leader", F.coalesce("component", "node").alias("c"))
-    mixed = mine.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("lo < hi").select("bucket", "size", "shingles")
+    mixed = mine.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("bucket", "size")
     rest = save(mine.join(mixed, "bucket"), "rest")
     forget(members)
     few = rest.where((F.col("size") <= SMALL) & (F.col("node") != F.col("leader")))
