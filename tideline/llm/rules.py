@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import forget, let, save, table, words
 
-BLANKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 WINDOW = 8
 #: Documents that costs and selectivity are estimated on, about; each rule is timed on so many copies of them, several times.
 SAMPLE_ROWS, COPIES, TIMES = 300, 16, 3
@@ -49,8 +48,8 @@ def with_base(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", text.alias("text"), words(text).alias("_w"), F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\x09-\\x0D]")).alias("_l"))
     d = d.select(
         "doc_id", "text", "_w", F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        (F.size(F.split("text", SYMBOL, -1)) - 1).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), F.size("_l").cast("long").alias("n_lines"),
         n_repeat_words(F.col("_w")).alias("n_repeat_words"),
     )
@@ -63,9 +62,9 @@ RULES = {
     "symbols": "n_symbols * 2 > n_words",
     "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
     "few_letters": r"word_chars > 2 * length(regexp_replace(text, r'[\x00-@\[-`{-\x7f]+', ''))",
-    "shouting": "2 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > word_chars",
+    "shouting": "2 * length(regexp_replace(text, '[^A-Z]+', '')) > word_chars",
     "few_words": "size(array_distinct(_w)) / greatest(n_words, 1) < 0.05D",
-    "exclaims": "2 * (length(text) - length(translate(text, '!?', ''))) > n_words",
+    "exclaims": "2 * length(regexp_replace(text, '[^!?]+', '')) > n_words",
 }
 
 
