@@ -43,7 +43,7 @@ class Settings:
     that is reranked by inner product. rows, queries: entries of a block of a group of files, and queries of one."""
 
     pivots: float = 4.0
-    most_pivots: int = 1 << 14
+    most_pivots: int = 1 << 17
     posted: int = 6
     probed: float = 3.4
     reranked: float = 0.15
