@@ -232,6 +232,13 @@ def test_align_time_refuses_repeated_times(spark):
     assert align.align_time(a, a, "t", strict=False).count() == 2
 
 
+def test_align_time_takes_rows_of_one_time_in_order(spark):
+    rows = lambda r: spark.createDataFrame([(float(t), float(v), i) for t, v, i in r], "t double, v double, i long")
+    a, b = rows([(0, 0, 0), (2, 30, 3), (2, 10, 1), (2, 20, 2), (4, 50, 0)]), rows([(0, 1, 0), (1, 2, 0), (2, 4, 1), (2, 3, 0), (3, 6, 0), (4, 7, 1), (4, 8, 0)])
+    got = align.align_time(a, b, "t", strict=False, order=["i"]).orderBy("t").collect()
+    assert [(r["t"], r["v_a"], r["v_b"]) for r in got] == [(0, 0, 1), (1, 5, 2), (2, 30, 4), (3, 40, 6), (4, 50, 7)]
+
+
 def test_resample(spark):
     df = seq(spark, [0, 1, 2], v=[0, 10, 20]).select("k", "t", "v")
     got = align.resample(df, 0.5, "t", BY).orderBy("t").collect()

@@ -63,35 +63,38 @@ def _at(numeric: bool, left: Column, right: Column) -> Column:
     return F.when(left.isNull(), F.lit(None).cast("double")).when(right.isNull() | (left["_t"] == t) | (right["_t"] == left["_t"]), left["v"]).otherwise(line)
 
 
-def align_time(a: DataFrame, b: DataFrame, t: str, by: Names = (), suffixes: tuple[str, str] = ("_a", "_b"), strict: bool = True) -> DataFrame:
+def align_time(a: DataFrame, b: DataFrame, t: str, by: Names = (), suffixes: tuple[str, str] = ("_a", "_b"), strict: bool = True, order: Names = ()) -> DataFrame:
     """Both frames on the union of their times within their common span, one row a time.
 
     Numbers are interpolated in time, other columns carried forward; gaps (null or NaN) inside are bridged. Times that
-    a sequence repeats are a ValueError; ``strict=False`` saves the pass that looks for them, and any one row of such a
-    time then counts.
+    a sequence repeats are a ValueError; ``strict=False`` saves the pass that looks for them. Of the rows of such a time
+    the last in ``order``, columns of both frames, then counts at that time and after it, the first before it.
     """
     if strict:
         sides = [df.select(*by, F.col(t), F.lit(n).alias("_side")) for n, df in enumerate((a, b))]
         if not repeated_times(sides[0].unionByName(sides[1]), t, [*by, "_side"]).isEmpty():
             raise ValueError("align_time: a sequence repeats a time")
     bounds = span(a.select(dbl(t)), b.select(dbl(t)))
-    rows, values, out = [], {}, {}
+    rows, values, out, places = [], {}, {}, [f"_o{i}" for i in range(len(order))]
     for side, (df, suffix) in enumerate(zip((a, b), suffixes, strict=True)):
         columns = [c for c in df.columns if c != t and c not in by]
         seen = df.withColumn("_t", dbl(t))
         there = F.struct(F.col("_t"), F.lit(True).alias("v")).alias(f"_is{side}")
-        rows.append(seen.select(*by, "_t", F.lit(side).alias("_side"), there, *[_known(df, c).alias(f"_{side}_{c}") for c in columns]))
+        rows.append(seen.select(*by, "_t", F.lit(side).alias("_side"), *[F.col(c).alias(n) for n, c in zip(places, order, strict=True)], there, *[_known(df, c).alias(f"_{side}_{c}") for c in columns]))
         values |= {f"_is{side}": F.col(f"_is{side}")} | {f"_{side}_{c}": F.col(f"_{side}_{c}") for c in columns}
         out |= {f"{c}{suffix}": (f"_{side}_{c}", _numeric(df, c)) for c in columns}
     both = rows[0].unionByName(rows[1], allowMissingColumns=True)
-    both = around(both, values, by, ["_t", "_side"], bounds)
+    both = around(both, values, by, ["_t", "_side", *places], bounds)
     # Of the two rows of a time the second sees both sides.
     both = both.where((F.col("_side") == 1) | F.col("_is1_after").isNull() | (F.col("_is1_after")["_t"] != F.col("_t")))
     for side in (0, 1):
         before, after = F.col(f"_is{side}_before"), F.col(f"_is{side}_after")
         both = both.where(before.isNotNull() & (after.isNotNull() | (before["_t"] == F.col("_t"))))
-    both = both.dropDuplicates([*by, "_t"]) if not strict else both
-    return both.select(*by, F.col("_t").alias(t), *[_at(numeric, F.col(f"{n}_before"), F.col(f"{n}_after")).alias(c) for c, (n, numeric) in out.items()])
+    result = [F.col("_t").alias(t), *[_at(numeric, F.col(f"{n}_before"), F.col(f"{n}_after")).alias(c) for c, (n, numeric) in out.items()]]
+    if strict:
+        return both.select(*by, *result)
+    # The last row of a time has seen all of it.
+    return both.groupBy(*by, "_t").agg(F.max_by(F.struct(*result), F.struct("_side", *places)).alias("_row")).select(*by, "_row.*")
 
 
 def repeated_times(df: DataFrame, t: str, by: Names = ()) -> DataFrame:
