@@ -72,6 +72,13 @@ def angle_diff(a: ColumnLike, b: ColumnLike) -> Column:
     return normalize_angle(dbl(a) - dbl(b))
 
 
+def length(x: Column, y: Column) -> Column:
+    """The root of the sum of squares, as SQL has it; ``hypot``, whose last digit may be another, where squares overflow
+    or vanish."""
+    squares = x * x + y * y
+    return F.when((squares > 1e-280) & (squares < float("inf")), F.sqrt(squares)).otherwise(F.hypot(x, y))
+
+
 def distance_2d(p: ColumnLike, q: ColumnLike) -> Column:
     (ax, ay), (bx, by) = parts(p, "x", "y"), parts(q, "x", "y")
     return F.hypot(ax - bx, ay - by)

@@ -7,13 +7,13 @@ one column. The first row of a difference is null.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.functions.geometry import TURN, along_cross, angle_diff, parts, pose_to_xyyaw, quat_to_yaw
+from tideline.functions.geometry import TURN, along_cross, angle_diff, length, parts, pose_to_xyyaw, quat_to_yaw
 from tideline.functions.numeric import NAN, ColumnLike, col, dbl, running, safe_div, sequence
 from tideline.operators.segments import accumulated, around, chunks
 
@@ -23,6 +23,7 @@ CHUNK = 1 << 18
 #: Operators take the least and greatest value of the first column of ``order`` (``segments.span``), a number, to work
 #: in segments of it, so that a long sequence is many tasks; ``by`` and ``order`` are then names. None: a task a sequence.
 Bounds = tuple[float, float] | None
+Divide = Callable[[Column, Column], Column]
 
 
 def neighbouring(df: DataFrame, by: Columns, order: Columns, bounds: Bounds, after: bool = False, **state: Column) -> tuple[DataFrame, dict[str, Column], dict[str, Column], list[str]]:
@@ -93,12 +94,12 @@ def with_cumulative_distance(df: DataFrame, position: ColumnLike, by: Columns, o
     return df.withColumn("_step", step).withColumn(out, F.sum("_step").over(running(by, order))).drop("_step")
 
 
-def with_velocity(df: DataFrame, position: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "velocity", bounds: Bounds = None) -> DataFrame:
-    """Speed in the x-y plane since the row before."""
+def with_velocity(df: DataFrame, position: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "velocity", bounds: Bounds = None, divide: Divide = safe_div) -> DataFrame:
+    """Speed in the x-y plane since the row before; ``divide`` says what it is where no time has passed."""
     t = dbl(t)
     x, y = parts(position, "x", "y")
     df, was, _, extra = neighbouring(df, by, order, bounds, x=x, y=y, t=t)
-    return df.withColumn(out, safe_div(F.hypot(x - was["x"], y - was["y"]), t - was["t"])).drop(*extra)
+    return df.withColumn(out, divide(length(x - was["x"], y - was["y"]), t - was["t"])).drop(*extra)
 
 
 def with_yaw_rate(df: DataFrame, orientation: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "yaw_rate", bounds: Bounds = None) -> DataFrame:
