@@ -75,7 +75,7 @@ def rows_of_both(spark, name, folder):
     return sorted(repr(tuple(r)) for r in mine), sorted(map(repr, theirs.fetchall()))
 
 
-@pytest.mark.parametrize("name", ["align_time", "velocity_from_pose"])
+@pytest.mark.parametrize("name", ["align_time", "velocity_from_pose", "yaw_rate_from_pose"])
 def test_query_equals_its_sql_where_times_repeat(spark, repeated, name):
     mine, theirs = rows_of_both(spark, name, repeated)
     assert len(mine) > 1000 and mine == theirs

@@ -102,11 +102,12 @@ def with_velocity(df: DataFrame, position: ColumnLike, t: ColumnLike, by: Column
     return df.withColumn(out, divide(length(x - was["x"], y - was["y"]), t - was["t"])).drop(*extra)
 
 
-def with_yaw_rate(df: DataFrame, orientation: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "yaw_rate", bounds: Bounds = None) -> DataFrame:
-    """Turn since the row before by the shorter way, per time. No running sum is needed for that."""
+def with_yaw_rate(df: DataFrame, orientation: ColumnLike, t: ColumnLike, by: Columns, order: Columns, out: str = "yaw_rate", bounds: Bounds = None, divide: Divide = safe_div) -> DataFrame:
+    """Turn since the row before by the shorter way, per time; ``divide`` says what it is where no time has passed. No
+    running sum is needed for that."""
     t, yaw = dbl(t), quat_to_yaw(orientation)
     df, was, _, extra = neighbouring(df, by, order, bounds, yaw=yaw, t=t)
-    return df.withColumn(out, safe_div(_turn_step(yaw, was["yaw"]), t - was["t"])).drop(*extra)
+    return df.withColumn(out, divide(_turn_step(yaw, was["yaw"]), t - was["t"])).drop(*extra)
 
 
 def gradient(x: Column, before: Column, after: Column) -> Column:
