@@ -81,6 +81,14 @@ def test_query_equals_its_sql_where_times_repeat(spark, repeated, name):
     assert len(mine) > 1000 and mine == theirs
 
 
+def test_diff_is_rounded_as_its_sql_rounds(spark, tmp_path):
+    """Quotients of over a million, whose sixth digit depends on how they are rounded, and rows of one time."""
+    rows = "SELECT i AS event_id, make_timestamp(1704067200000000 + i // 50 * 501 + least(i % 50, 48) * 10) AS ts, 1 AS user_id, 'view' AS event_type, (hash(i) % 1000000007) / 1000003 AS value, '{}' AS props FROM range(20000) r(i)"
+    duckdb.connect().execute(f"COPY ({rows}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    mine, theirs = rows_of_both(spark, "diff", str(tmp_path))
+    assert any("inf" in r for r in mine) and mine == theirs
+
+
 @pytest.mark.parametrize("name", ["match_by_time", "align_time", "interp_pose", "integrate", "unwrap", "cumulative_distance", "diff", "moving_average", "velocity_from_pose", "topic_rate", "message_gaps", "pose_error_path", "lowpass"])
 def test_no_table_is_one_task(spark, name):
     plan = telemetry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
