@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -568,3 +569,26 @@ def test_recall(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     hits = [len(got[ids[q]] & set(ids[[i for i in np.lexsort((ids, -(v @ v[q]))) if i != q][:20]])) / 20 for q in np.flatnonzero(ids % 20 == 0)]
     assert np.mean(hits) >= 0.9
+
+
+def test_driver_gives_back_memory_after_a_saved_table(spark):
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def held():  # MB outside the JVM's own heap, which lies at low addresses
+        with open(f"/proc/{pid}/smaps") as f:
+            found = re.findall(r"^([0-9a-f]+)-[0-9a-f]+ (?:.*\n(?![0-9a-f]+-))*?Anonymous: +(\d+)", f.read(), re.M)
+        return sum(int(kb) for at, kb in found if int(at, 16) >> 40) >> 10
+
+    common.forget(common.save(spark.range(1), "one"))  # the first loads much
+    blocks = [jvm.java.nio.ByteBuffer.allocateDirect(64 << 10) for _ in range(3000)]
+    full = held()
+    for i, block in enumerate(blocks):
+        if i % 50:  # so that what is freed lies between blocks in use
+            spark.sparkContext._gateway.detach(block)
+    for _ in range(2):
+        time.sleep(0.5)
+        jvm.System.gc()
+    time.sleep(0.5)
+    common.forget(common.save(spark.range(1), "one"))
+    assert held() < full - 120
